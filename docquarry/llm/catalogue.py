@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docquarry.llm import quality_rules, url_filter
+from docquarry.llm import packing, quality_rules, url_filter
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op8_quality_rules": quality_rules.query,
     "op10_url_filter": url_filter.query,
 }
