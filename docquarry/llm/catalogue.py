@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docquarry.llm import packing, quality_rules, url_filter
+from docquarry.llm import packing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_pii": pii.query,
     "op8_quality_rules": quality_rules.query,
     "op10_url_filter": url_filter.query,
 }
