@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from docquarry.llm import packing, pii, quality_rules, url_filter
+from docquarry.llm import ngram_join, packing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_pii": pii.query,
+    "op5_ngram_join": ngram_join.query,
     "op8_quality_rules": quality_rules.query,
     "op10_url_filter": url_filter.query,
 }
 
 ORACLES = {
+    "op5_ngram_join": ngram_join.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
