@@ -11,9 +11,10 @@ Plan:
    document, and the slot counts. Documents with the same set are one node.
 2. a second pass emits the prefix elements of each distinct set; elements in
    the prefixes of two or more sets survive.
-3. star round: within an element's group each set meets only the group's
-   pivot, the set with the fewest rarer elements before it. In a group of near
-   copies that links nearly all of them, in as many pairs as members.
+3. star round: within an element's group each set may meet only the group's
+   pivot, the set with the fewest rarer elements before it, and meets the
+   ``PIVOTS`` it shares most with. In a group of near copies that links nearly
+   all of them, in about as many pairs as members.
 4. exact round: what still lies in different components is joined pair by pair
    on the element, under the length, positional and suffix filters, and without
    the pairs of the first round. So no link between components is lost, while
@@ -47,6 +48,8 @@ from docquarry.llm import common, graph
 SLOT_BITS = 20
 BLOCK = 4096
 CACHE = 300_000
+#: Pivots that a set meets in the star round, those it shares most prefix elements with; the exact round takes up the rest.
+PIVOTS = 2
 BROADCAST_IDS = 1_000_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
@@ -225,7 +228,9 @@ def link_documents(documents: DataFrame, n: int = 4, similarity: Fraction = Frac
 
     own = F.struct("pos", "n", "digest", "s1", "s2")
     stars = rows.select("element", own.alias("x"), F.min(own).over(group).alias("y")).filter(F.col("x.digest") != F.col("y.digest")).filter(_may_link("x", "y", t))
-    stars = stars.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+    stars = stars.groupBy(F.col("x.digest").alias("x"), F.col("y.digest").alias("y")).agg(F.count("*").alias("together"))
+    nearest = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("together"), "y"))
+    stars = stars.withColumn("_nearest", nearest).filter(f"_nearest <= {PIVOTS}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     stars = common.cut(stars, "stars")
     links = _verify(stars, sets, usable, n, t)
     labels = graph.components(links)
