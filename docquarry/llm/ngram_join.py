@@ -174,16 +174,27 @@ def _prefixes(texts: DataFrame, n: int, t: Fraction, counts: np.ndarray) -> Data
     return texts.mapInArrow(scan, "element long, digest binary, pos int")
 
 
-def _may_link(a: str, b: str, t: Fraction) -> Column:
-    """Length, positional and suffix filters between the structs or aliases ``a`` and ``b`` (n, pos, s1, s2)."""
+def _overlap(t: Fraction) -> Column:
+    """Fewest shared elements with which sets of ``x_n`` and ``y_n`` elements reach t."""
     p, q = t.numerator, t.denominator
-    c = lambda side, name: F.col(f"{side}.{name}")
-    na, nb = c(a, "n"), c(b, "n")
-    overlap = F.expr(f"({p}L * ({a}.n + {b}.n) + {p + q - 1}L) div {p + q}L")
-    length = (F.least(na, nb) * q) >= (F.greatest(na, nb) * p)
-    positional = F.least(na - c(a, "pos"), nb - c(b, "pos")) >= overlap
-    differ = F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1"))) + F.bit_count(c(a, "s2").bitwiseXOR(c(b, "s2")))
-    return length & positional & (differ <= na + nb - 2 * overlap)
+    return F.expr(f"({p}L * (x_n + y_n) + {p + q - 1}L) div {p + q}L")
+
+
+def _may_link(t: Fraction) -> Column:
+    """Length and positional filters of a pair, from x_n, x_pos, y_n, y_pos."""
+    length = F.least("x_n", "y_n") * t.denominator >= F.greatest("x_n", "y_n") * t.numerator
+    return length & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= _overlap(t))
+
+
+def _near(t: Fraction) -> Column:
+    """Suffix filter of a pair, from x_n, y_n and the parity signatures."""
+    differ = F.bit_count(F.col("x_s1").bitwiseXOR(F.col("y_s1"))) + F.bit_count(F.col("x_s2").bitwiseXOR(F.col("y_s2")))
+    return differ <= F.col("x_n") + F.col("y_n") - 2 * _overlap(t)
+
+
+def _side(df: DataFrame, side: str, *keep: str) -> DataFrame:
+    """Columns but ``keep`` renamed with the side's name before them."""
+    return df.select(*(F.col(c) if c in keep else F.col(c).alias(f"{side}_{c}") for c in df.columns))
 
 
 def _restrict(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -193,9 +204,9 @@ def _restrict(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """(a, b) of the pairs whose whole sets reach t."""
-    needed = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    ids = common.cut(sets.join(needed, "digest", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "needed")
+    """(a, b) of the pairs of nodes whose whole sets reach t. Fewest different nodes should stand in b."""
+    needed = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+    needed = common.cut(sets.select("nid", "digest", "rep").join(needed, "nid", "left_semi"), "needed")
 
     def scan(batches):
         shingler = Shingler(n)
@@ -203,12 +214,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, t: Frac
             made = [s for text in batch.column(1).to_pylist() if len(s := shingler.set_of(text))]
             yield pa.RecordBatch.from_arrays([pa.array([shingler.digest(s) for s in made], pa.binary()), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["digest", "elements"])
 
-    whole = _restrict(texts, ids, "doc_id").mapInArrow(scan, "digest binary, elements array<long>").groupBy("digest").agg(F.first("elements").alias("elements"))
-    whole = common.cut(whole, "whole")
-    of = lambda side: whole.select(F.col("digest").alias(side), F.col("elements").alias(f"of_{side}"))
+    ids = needed.select(F.col("rep").alias("doc_id")).distinct()
+    whole = common.cut(_restrict(texts, ids, "doc_id").mapInArrow(scan, "digest binary, elements array<long>"), "whole")
+    names = needed.select("digest", "nid")
+    few = names.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    whole = whole.join(F.broadcast(names) if few else names, "digest").drop("digest")
+    of = lambda side: _restrict(whole, pairs.select(F.col(side).alias("nid")).distinct(), "nid").select(F.col("nid").alias(side), F.col("elements").alias(f"of_{side}"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("either"))
-    return common.cut(joined.filter(F.col("shared") * t.denominator >= F.col("either") * t.numerator).select("a", "b"), "links")
+    return common.cut(joined.filter(F.col("shared") * t.denominator >= F.col("either") * t.numerator).select("a", "b").distinct(), "links")
 
 
 def link_documents(documents: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,36 +233,39 @@ def link_documents(documents: DataFrame, n: int = 4, similarity: Fraction = Frac
     members, counts = _sets(texts, n)
     usable = texts.filter("doc_id is not null")
     sets = members.filter("digest is not null and doc_id is not null").groupBy("digest")
-    sets = common.cut(sets.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2")), "nodes")
+    sets = sets.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    sets = common.cut(sets.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # written, so the numbers stay
+    signed = sets.select("nid", "s1", "s2")
 
+    # elements in the prefixes of two sets or more; sizes and signatures join late, to keep shuffled rows narrow
     group = Window.partitionBy("element")
     rows = _prefixes(usable, n, t, counts)
     rows = rows.withColumn("_low", F.min("digest").over(group)).withColumn("_high", F.max("digest").over(group)).filter("_low <> _high").drop("_low", "_high")
-    rows = common.cut(rows.distinct().join(sets.drop("rep", "copies"), "digest"), "prefixes")
+    rows = common.cut(rows.join(sets.select("digest", "nid", F.col("n").cast("int").alias("n")), "digest").select("element", "nid", "pos", "n").distinct(), "prefixes")
 
-    own = F.struct("pos", "n", "digest", "s1", "s2")
-    stars = rows.select("element", own.alias("x"), F.min(own).over(group).alias("y")).filter(F.col("x.digest") != F.col("y.digest")).filter(_may_link("x", "y", t))
-    stars = stars.groupBy(F.col("x.digest").alias("x"), F.col("y.digest").alias("y")).agg(F.count("*").alias("together"))
+    own = F.struct("pos", "n", "nid")
+    stars = rows.select(F.col("nid").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.min(own).over(group).alias("y"))
+    stars = stars.select("x", "x_n", "x_pos", F.col("y.nid").alias("y"), F.col("y.n").alias("y_n"), F.col("y.pos").alias("y_pos")).filter("x <> y").filter(_may_link(t))
+    stars = stars.groupBy("x", "y").agg(F.count("*").alias("together"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
+    stars = stars.join(_side(signed, "x").withColumnRenamed("x_nid", "x"), "x").join(_side(signed, "y").withColumnRenamed("y_nid", "y"), "y").filter(_near(t))
     nearest = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("together"), "y"))
-    stars = stars.withColumn("_nearest", nearest).filter(f"_nearest <= {PIVOTS}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    stars = common.cut(stars, "stars")
+    stars = common.cut(stars.withColumn("_nearest", nearest).filter(f"_nearest <= {PIVOTS}").select(F.col("x").alias("a"), F.col("y").alias("b")), "stars")
     links = _verify(stars, sets, usable, n, t)
     labels = graph.components(links)
 
-    rows = rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    rows = rows.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     rows = rows.withColumn("_low", F.min("root").over(group)).withColumn("_high", F.max("root").over(group)).filter("_low <> _high").drop("_low", "_high")
-    rows = common.cut(rows.withColumn("size_class", F.floor(F.log("n") / float(np.log(float(1 / t)) if t < 1 else 1.0)).cast("int")), "apart")
-    x = rows.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1))).alias("x")
-    y = rows.alias("y")
-    apart = (F.col("x.element") == F.col("y.element")) & (F.col("x.size_class") == F.col("y.size_class")) & (F.col("x.root") != F.col("y.root"))
-    ordered = F.struct(F.col("x.n"), F.col("x.digest")) < F.struct(F.col("y.n"), F.col("y.digest"))
-    rest = x.join(y, apart & ordered & _may_link("x", "y", t)).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
-    rest = common.cut(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    rows = common.cut(rows.join(signed, "nid"), "apart")
+    apart = (F.col("x_root") != F.col("y_root")) & (F.struct("x_n", "x_nid") > F.struct("y_n", "y_nid")) & _may_link(t) & _near(t)
+    rest = _side(rows, "x", "element").join(_side(rows, "y", "element").withColumnRenamed("element", "y_element"), (F.col("element") == F.col("y_element")) & apart)
+    rest = rest.select(F.col("x_nid").alias("a"), F.col("y_nid").alias("b")).distinct()
+    met = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = common.cut(rest.join(met, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(_verify(rest, sets, usable, n, t))
         labels = graph.components(links)
 
-    nodes = sets.select("digest", "rep", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+    nodes = sets.select("digest", "nid", "rep", "copies").join(labels.withColumnRenamed("node", "nid"), "nid", "left")
     linked = nodes.filter("root is not null")
     smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = linked.join(smallest, "root").select("digest", "component_id").unionByName(nodes.filter("root is null and copies > 1").select("digest", F.col("rep").alias("component_id")))
@@ -263,7 +280,7 @@ def keep_one(documents: DataFrame, n: int = 5, similarity: Fraction = Fraction(8
     gone = link_documents(documents, n, similarity, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = common.cut(gone, "gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return documents.join(F.broadcast(gone) if few else gone, documents[id_col] == gone["_gone"], "left_anti")
 
 
 def query(spark, sf_dir) -> DataFrame:
