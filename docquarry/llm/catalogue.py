@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docquarry.llm import decontamination, ngram_join, packing, pii, quality_rules, url_filter
+from docquarry.llm import decontamination, line_dedup, ngram_join, packing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_pii": pii.query,
     "op5_ngram_join": ngram_join.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_decontamination": decontamination.query,
     "op8_quality_rules": quality_rules.query,
     "op10_url_filter": url_filter.query,

@@ -98,3 +98,11 @@ def rows_of(batches, *names):
     """(batch columns as Python lists) for each Arrow batch."""
     for batch in batches:
         yield [batch.column(n).to_pylist() for n in names]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
