@@ -11,6 +11,7 @@ gives one output row, repeated rows included.
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,8 +125,6 @@ def judge_quality(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_good(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """The input rows, all columns and their order unchanged, whose text passes base rule and bands."""
-    import pandas as pd
-
     common.small_batches(documents.sparkSession)
 
     @F.pandas_udf("boolean")
