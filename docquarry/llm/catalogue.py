@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docquarry.llm import decontamination, line_dedup, ngram_join, packing, pii, quality_rules, url_filter
+from docquarry.llm import decontamination, line_dedup, ngram_join, packing, pii, quality_rules, secrets, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_pii": pii.query,
+    "op4_secrets": secrets.query,
     "op5_ngram_join": ngram_join.query,
     "op6_line_dedup": line_dedup.query,
     "op7_decontamination": decontamination.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_secrets": secrets.query,
     "op5_ngram_join": ngram_join.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
