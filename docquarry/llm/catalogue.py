@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.llm import decontamination, line_dedup, ngram_join, packing, pii, quality_rules, secrets, url_filter
+from docquarry.llm import decontamination, line_dedup, ngram_join, packing, pii, quality_crf, quality_rules, secrets, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -12,11 +12,13 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op7_decontamination": decontamination.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_quality_crf": quality_crf.query,
     "op10_url_filter": url_filter.query,
 }
 
 ORACLES = {
     "op4_secrets": secrets.query,
     "op5_ngram_join": ngram_join.ORACLE,
+    "op9_quality_crf": quality_crf.query,
     "op10_url_filter": url_filter.ORACLE,
 }
