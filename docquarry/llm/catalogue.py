@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docquarry.llm import decontamination, line_dedup, ngram_join, packing, pii, quality_crf, quality_rules, secrets, url_filter
+from docquarry.llm import decontamination, line_dedup, lm_score, ngram_join, packing, pii, quality_crf, quality_rules, secrets, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_pii": pii.query,
+    "op3_lm_score": lm_score.query,
     "op4_secrets": secrets.query,
     "op5_ngram_join": ngram_join.query,
     "op6_line_dedup": line_dedup.query,
@@ -17,8 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op4_secrets": secrets.query,
     "op5_ngram_join": ngram_join.ORACLE,
-    "op9_quality_crf": quality_crf.query,
     "op10_url_filter": url_filter.ORACLE,
 }
