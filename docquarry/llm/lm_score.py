@@ -15,10 +15,10 @@ the weights are averaged by window counts, in ``ROUNDS`` rounds. So what is
 gathered grows with the corpus, while what comes to the driver is one table of
 counts and one set of weights.
 
-A text is scored in windows of ``WINDOW`` positions; each next one starts
-``STRIDE`` later and scores only what the one before has not, so every subword,
-the closing one included, is scored once, with at least WINDOW - STRIDE
-positions of context where the text has them.
+A text is scored in windows of ``WINDOW`` positions that overlap by
+``CONTEXT``; each scores what stands after its first ``CONTEXT`` positions, so
+every subword, the closing one included, is scored once, with that many
+positions of context at least (marks stand before the text's beginning).
 
 The base needs the counts of all words. The most frequent (at most ``HEAD``,
 by a count threshold) are broadcast as hash and count; the other words of each
@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import count as counter
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +43,20 @@ from pyspark.sql import functions as F
 from docquarry.llm import common, subwords
 
 HELD_OUT = (5, 1)
-HEAD = 2_000_000
+HEAD = 1 << 18
 CACHE = 300_000
 
 VOCAB = subwords.SIZE
 MARK = VOCAB - 1  # stands before the first and after the last subword
+MARKS = np.array([MARK], np.uint16)
 CLASSES = 48
 BUCKETS = 32
-WINDOW, STRIDE = 32, 24
+WINDOW, CONTEXT = 32, 8
+STRIDE = WINDOW - CONTEXT
 WIDTH, KEY = 16, 8
 SLOPE = 0.15
 #: One window in so many is trained on, in each of so many rounds.
-PART, ROUNDS = 16, 2
+PART, ROUNDS = 24, 2
 BATCH, RATE = 64, 0.01
 BLOCK = 1 << 16
 CHUNK = 128  # windows scored at once
@@ -160,54 +162,61 @@ def fresh_weights(seed: int = 1) -> dict[str, np.ndarray]:
     return {n: (r.standard_normal(s) * scale[n]).astype(np.float32) for n, s in shape.items()}
 
 
-def distance_bias(n: int = WINDOW) -> np.ndarray:
-    gap = np.arange(n)[:, None] - np.arange(n)[None, :]
+def distance_bias() -> np.ndarray:
+    """STRIDE x WINDOW: the slope times the distance of each key from a scored position; none from the right."""
+    gap = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
     return np.where(gap < 0, -1e9, -SLOPE * gap).astype(np.float32)
 
 
-def train_step(w: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, seen: np.ndarray) -> tuple[float, dict]:
-    """(loss, gradients) for windows of ids x, next classes y and the mask of real positions."""
+def train_step(w: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, seen: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    """(loss, gradients, rows) for windows of ids x, next classes y and the mask of real targets.
+
+    The gradient of "e" is that of the given rows only.
+    """
+    rows, at = np.unique(x, return_inverse=True)
     e = w["e"][x]
-    q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
+    late = e[:, CONTEXT:]
+    q, k, v = late @ w["q"], e @ w["k"], e @ w["v"]
     scale = np.float32(1 / math.sqrt(KEY))
-    s = q @ k.transpose(0, 2, 1) * scale + distance_bias(x.shape[1])
+    s = q @ k.transpose(0, 2, 1) * scale + distance_bias()
     p = np.exp(s - s.max(2, keepdims=True))
     p /= p.sum(2, keepdims=True)
     o = p @ v
-    z = table[x] + o @ w["u"]
+    z = table[x[:, CONTEXT:]] + o @ w["u"]
     z -= z.max(2, keepdims=True)
     ez = np.exp(z)
     prob = ez / ez.sum(2, keepdims=True)
     n = max(1.0, float(seen.sum()))
-    picked = np.take_along_axis(prob, y[:, :, None], 2)[:, :, 0]
-    loss = -float((np.log(picked + 1e-30) * seen).sum()) / n
+    picked = np.take_along_axis(prob, y[:, :, None], 2)
+    loss = -float((np.log(picked[:, :, 0] + 1e-30) * seen).sum()) / n
     dz = prob
-    np.put_along_axis(dz, y[:, :, None], np.take_along_axis(dz, y[:, :, None], 2) - 1, 2)
-    dz *= (seen / n)[:, :, None]
+    np.put_along_axis(dz, y[:, :, None], picked - 1, 2)
+    dz *= (seen / n)[:, :, None].astype(dz.dtype)
     do = dz @ w["u"].T
     dp = do @ v.transpose(0, 2, 1)
     ds = p * (dp - (dp * p).sum(2, keepdims=True)) * scale
     dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ do
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    de = np.zeros_like(w["e"])
-    np.add.at(de, x.ravel(), flat(dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T))
-    return loss, {"e": de, "q": flat(e).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "u": flat(o).T @ flat(dz)}
+    each = dk @ w["k"].T + dv @ w["v"].T
+    each[:, CONTEXT:] += dq @ w["q"].T
+    de = np.zeros((len(rows), WIDTH), each.dtype)
+    np.add.at(de, at.ravel(), flat(each))
+    return loss, {"e": de, "q": flat(late).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "u": flat(o).T @ flat(dz)}, rows
 
 
-def windows_of(ids: np.ndarray, size: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each window over the inputs, first position in it that it scores) for MARK + ids + MARK."""
-    n = len(ids) + 1  # predictions
-    starts = np.arange(0, max(1, n - (size - stride)), stride)
-    return starts, np.where(starts == 0, 0, size - stride)
+def windows_in(n: int) -> int:
+    """Windows over n subwords and the closing mark."""
+    return n // STRIDE + 1
 
 
-def padded(ids: np.ndarray, size: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, scored) by window; every prediction is scored in exactly one."""
-    starts, first = windows_of(ids, size, stride)
-    full = np.full(int(starts[-1]) + size + 1, MARK, np.int64)
-    full[1 : len(ids) + 1] = ids
-    at = starts[:, None] + np.arange(size)
-    return full[at], full[at + 1], (np.arange(size) >= first[:, None]) & (at <= len(ids))
+def padded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, real targets) by window; each target stands in exactly one."""
+    m = windows_in(len(ids))
+    full = np.full(m * STRIDE + CONTEXT + 1, MARK, np.int64)
+    full[CONTEXT + 1 : CONTEXT + 1 + len(ids)] = ids
+    starts = np.arange(m)[:, None] * STRIDE
+    targets = starts + np.arange(STRIDE)
+    return full[starts + np.arange(WINDOW)], full[targets + CONTEXT + 1], targets <= len(ids)
 
 
 class Model:
@@ -222,18 +231,19 @@ class Model:
 
     def window_scores(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural-log probability of each target given its window so far (batched, masked)."""
-        s = self.q[x] @ self.k[x].transpose(0, 2, 1)
+        late = x[:, CONTEXT:]
+        s = self.q[late] @ self.k[x].transpose(0, 2, 1)
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
         s *= self.decay  # distance bias and causal mask at once
         o = s @ self.v[x]
         o /= s.sum(2, keepdims=True)
-        z = self.table[x.ravel()]
+        z = self.table[late.ravel()]
         z += o.reshape(-1, WIDTH) @ self.u
         target = self.classes[y.ravel()]
         own = z[np.arange(len(z)), target]
         np.exp(z, out=z)
-        return (own - np.log(z.sum(1)) + self.share[y.ravel()]).reshape(x.shape)
+        return (own - np.log(z.sum(1)) + self.share[y.ravel()]).reshape(y.shape)
 
     def score_many(self, texts_ids: list[np.ndarray]) -> list[float]:
         """log10 probability of each sequence, windows of all of them batched."""
@@ -280,7 +290,7 @@ def _read(documents: DataFrame, paths) -> DataFrame:
 
     def scan(batches):
         encode = subwords.shared(paths).encode
-        words: dict[bytes, int] = {}
+        words: Counter = Counter()
         follows = np.zeros(VOCAB * BUCKETS, np.int32)
         nothing = pa.nulls
 
@@ -290,16 +300,19 @@ def _read(documents: DataFrame, paths) -> DataFrame:
             return pa.RecordBatch.from_arrays([nothing(n, pa.int64()), nothing(n, pa.bool_()), nothing(n, pa.string()), nothing(n, pa.binary()), pa.array([word_hash(k) for k in keys], pa.int64()), pa.array([words[k] for k in keys], pa.int64()), nothing(n, pa.int32()), nothing(n, pa.binary())], names=names)
 
         for batch in batches:
-            out = []
+            out, chain, ends = [], [], 0
             for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
                 ids = np.array(encode(text), np.uint16)
                 out.append(ids.tobytes())
                 if not held:
-                    for w in words_of(text):
-                        words[w] = words.get(w, 0) + 1
-                    words[b"\n"] = words.get(b"\n", 0) + 1
-                    both = np.concatenate([[MARK], ids, [MARK]]).astype(np.int64)
-                    np.add.at(follows, both[1:] * BUCKETS + buckets_of(both[:-1]), 1)
+                    words.update(words_of(text))
+                    ends += 1
+                    chain += MARKS, ids
+            if chain:
+                both = np.concatenate([*chain, MARKS]).astype(np.int64)
+                np.add.at(follows, both[1:] * BUCKETS + buckets_of(both[:-1]), 1)
+            if ends:
+                words[b"\n"] += ends
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("text"), pa.array(out, pa.binary()), nothing(n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.int32()), nothing(n, pa.binary())], names=names)
             if len(words) > CACHE:  # bounded; the counts are added up later
@@ -320,12 +333,14 @@ def _count_pairs(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
     cls = texts.sparkSession.sparkContext.broadcast(classes)
 
     def scan(batches):
-        own, total = cls.value, np.zeros(VOCAB * (CLASSES + 1), np.int32)
+        own, total, seen = cls.value, np.zeros(VOCAB * (CLASSES + 1), np.int32), np.zeros(VOCAB, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                both = np.concatenate([[MARK], np.frombuffer(raw, np.uint16), [MARK]]).astype(np.int64)
+            chain = [x for raw in batch.column(0).to_pylist() for x in (MARKS, np.frombuffer(raw, np.uint16))]
+            if chain:  # a mark ends one text and begins the next
+                both = np.concatenate([*chain, MARKS]).astype(np.int64)
                 np.add.at(total, both[:-1] * (CLASSES + 1) + own[both[1:]], 1)
-                np.add.at(total, both[1:] * (CLASSES + 1) + CLASSES, 1)
+                seen += np.bincount(both[1:], minlength=VOCAB)
+        total[CLASSES :: CLASSES + 1] = seen
         blocks = list(_blocks(total))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=["block", "packed"])
 
@@ -342,22 +357,29 @@ def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np
         w0, cls, t = sent.value
         w = {n: a.copy() for n, a in w0.items()}
         m, v = ({n: np.zeros_like(a) for n, a in w.items()} for _ in range(2))
-        number, windows, pool = counter(1), 0, []
+        steps, windows, pool = np.zeros(VOCAB), 0, []
+        done = 0
+
+        def adam(n, g, rows, k):
+            """Adam on the given rows; a row of "e" counts the steps that touched it."""
+            m[n][rows] += 0.1 * (g - m[n][rows])
+            v[n][rows] += 0.01 * (g * g - v[n][rows])
+            w[n][rows] -= (RATE * (m[n][rows] / (1 - 0.9**k)) / (np.sqrt(v[n][rows] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
 
         def learn(chunk):
+            nonlocal done
             x, y, seen = (np.concatenate([c[i] for c in chunk]) for i in range(3))
-            _, g = train_step(w, t, x, cls[y], seen)
-            k = next(number)
+            _, g, rows = train_step(w, t, x, cls[y], seen)
+            done += 1
+            steps[rows] += 1
             for n in names:
-                m[n] += 0.1 * (g[n] - m[n])
-                v[n] += 0.01 * (g[n] * g[n] - v[n])
-                w[n] -= RATE * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.99**k)) + 1e-6)
+                adam(n, g[n], rows if n == "e" else slice(None), steps[rows][:, None] if n == "e" else done)
 
         waiting = 0
         for batch in batches:
             for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(raw, np.uint16).astype(np.int64)
-                n = len(windows_of(ids)[0])
+                ids = np.frombuffer(raw, np.uint16)
+                n = windows_in(len(ids))
                 picked = np.flatnonzero((np.arange(n) * 40503 + zlib.crc32(raw[:64]) + turn * 7919) % part == 0)
                 if len(picked):
                     x, y, seen = padded(ids)

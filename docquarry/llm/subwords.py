@@ -31,16 +31,24 @@ class Subwords:
     def __init__(self, paths: tuple[str, str] | None = None):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         whole, ranks = paths or vocabulary_paths()
-        self.exact = Tokenizer.from_file(whole)
-        self.exact.encode_special_tokens = True
+        self.whole, self._exact = whole, None
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
+    @property
+    def exact(self):
+        """The library's own tokenizer, loaded when a text needs it."""
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.whole)
+            self._exact.encode_special_tokens = True
+        return self._exact
+
     def encode(self, text: str) -> list[int]:
         if _LATE.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
