@@ -444,7 +444,7 @@ def _evidence_rows(spark, sf_dir) -> DataFrame:
 
 
 _EVIDENCE_METRICS = f"""{_EVIDENCE_CHUNKS}, {_POSTINGS.replace("doc_id::varchar as chunk_id", "chunk_id").replace("from documents", "from named").lstrip()}, found as (select qid as question_id, chunk_id, rank from ({_ranked('scored', 5)})),
-rel as (select distinct question_id, chunk_id from mapped), asked as (select distinct question_id from mapped), {_METRICS.format(retrieved="found", relevant="rel", questions="asked")},
+rel as (select distinct question_id, chunk_id from mapped), judged as (select distinct question_id from mapped), {_METRICS.format(retrieved="found", relevant="rel", questions="judged")},
 rows_ as (select m.*, (select count(distinct evidence_id) from mapped x semi join found f on x.question_id = f.question_id and x.chunk_id = f.chunk_id where x.question_id = m.question_id) / (select count(distinct evidence_id) from mapped x where x.question_id = m.question_id) as evidence_recall from metrics m)"""
 
 
