@@ -56,9 +56,10 @@ STRIDE = WINDOW - CONTEXT
 WIDTH, KEY = 16, 8
 SLOPE = 0.15
 #: One window in so many is trained on, in each of so many rounds.
-PART, ROUNDS = 24, 2
+PART, ROUNDS = 40, 2
 BATCH, RATE = 64, 0.01
 BLOCK = 1 << 16
+TALLY = 2_000_000
 CHUNK = 128  # windows scored at once
 
 
@@ -81,27 +82,31 @@ class BaseScorer:
     """Sums log10((c + 0.5) / z) over words whose count is at hand, and lists the hashes of the others."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, z: float):
-        self.hashes, self.logs, self.z = hashes, np.log10((counts + 0.5) / z), z
-        scorer = self
-
-        class Logs(dict):
-            def __missing__(self, word: bytes) -> float:
-                h = word_hash(word)
-                at = np.searchsorted(scorer.hashes, h)
-                value = float(scorer.logs[at]) if at < len(scorer.hashes) and scorer.hashes[at] == h else 0.0
-                if len(self) >= CACHE:
-                    self.clear()
-                self[word] = value
-                return value
-
-        self.cache = Logs()
-
-    def __call__(self, text: str) -> tuple[int, int, float, list[int]]:
-        """Tokens, known ones, their sum, hashes of the words that must join. Counts below about 10**-300 of z never give 0."""
-        words = words_of(text)
-        logs = list(map(self.cache.__getitem__, words))
-        rare = [word_hash(w) for w, v in zip(words, logs) if v == 0.0] if 0.0 in logs else []
-        return len(words) + 1, len(words) - len(rare), math.fsum(logs), rare
+        self.hashes, self.logs, self.cache = hashes, np.log10((counts + 0.5) / z), {}
+        self.end = float(self._look_up([b"\n"])[0])
+
+    def _look_up(self, words: list[bytes]) -> np.ndarray:
+        """The logs of the words, 0 where the count is not at hand."""
+        h = np.fromiter(map(word_hash, words), np.int64, len(words))
+        if not len(self.hashes):
+            return np.zeros(len(h))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.logs[at], 0.0)
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, int, float, list[int]]]:
+        """For each text: tokens, those at hand, their sum, hashes of those that must join; the end token is one of them."""
+        split = [words_of(t) for t in texts]
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        new = list(set().union(*split).difference(self.cache))
+        self.cache.update(zip(new, self._look_up(new).tolist()))
+        out, ready = [], self.end != 0.0
+        for words in split:
+            logs = list(map(self.cache.__getitem__, words))
+            rare = [word_hash(w) for w, v in zip(words, logs) if v == 0.0] if 0.0 in logs else []
+            known = len(words) - len(rare) + ready
+            out.append((len(words) + 1, known, math.fsum(logs) + self.end, rare if ready else [*rare, END_WORD]))
+        return out
 
 
 # ---- the model -------------------------------------------------------------
@@ -224,26 +229,28 @@ class Model:
 
     def __init__(self, weights: dict, classes: np.ndarray, table: np.ndarray, share: np.ndarray):
         e = weights["e"]
-        scale = np.float32(1 / math.sqrt(KEY))
-        self.q, self.k, self.v = (e @ weights["q"]) * scale, e @ weights["k"], (e @ weights["v"])
+        self.q = (e @ weights["q"]) * np.float32(1 / math.sqrt(KEY))
+        # keys, values and a one side by side: one look-up a position, and the attention's norm comes with its output
+        self.kv = np.hstack([e @ weights["k"], e @ weights["v"], np.ones((VOCAB, 1), np.float32)])
         self.u, self.table, self.share, self.classes = weights["u"], table, share, classes
         self.decay = np.exp(distance_bias()).astype(np.float32)
+        self.ones = np.ones(CLASSES, np.float32)
 
     def window_scores(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural-log probability of each target given its window so far (batched, masked)."""
-        late = x[:, CONTEXT:]
-        s = self.q[late] @ self.k[x].transpose(0, 2, 1)
+        late = x[:, CONTEXT:].ravel()
+        kv = self.kv.take(x.ravel(), 0, mode="clip").reshape(len(x), WINDOW, -1)
+        s = self.q.take(late, 0, mode="clip").reshape(len(x), STRIDE, KEY) @ kv[:, :, :KEY].transpose(0, 2, 1)
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
         s *= self.decay  # distance bias and causal mask at once
-        o = s @ self.v[x]
-        o /= s.sum(2, keepdims=True)
-        z = self.table[late.ravel()]
-        z += o.reshape(-1, WIDTH) @ self.u
-        target = self.classes[y.ravel()]
-        own = z[np.arange(len(z)), target]
+        o = (s @ kv[:, :, KEY:]).reshape(-1, WIDTH + 1)
+        z = self.table.take(late, 0, mode="clip")
+        z += (o[:, :WIDTH] / o[:, WIDTH:]) @ self.u
+        target, y_flat = self.classes.take(y), y.ravel()
+        own = z[np.arange(len(z)), target.ravel()]
         np.exp(z, out=z)
-        return (own - np.log(z.sum(1)) + self.share[y.ravel()]).reshape(y.shape)
+        return (own - np.log(z @ self.ones) + self.share.take(y_flat)).reshape(y.shape)
 
     def score_many(self, texts_ids: list[np.ndarray]) -> list[float]:
         """log10 probability of each sequence, windows of all of them batched."""
@@ -259,6 +266,25 @@ class Model:
 
 # ---- passes ----------------------------------------------------------------
 
+class Tally:
+    """Counts of numbers below ``size``; arrays are gathered and counted together."""
+
+    def __init__(self, size: int):
+        self.total, self.parts, self.waiting = np.zeros(size, np.int32), [], 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.parts.append(numbers)
+        self.waiting += len(numbers)
+        if self.waiting > TALLY:
+            self.flush()
+
+    def flush(self) -> np.ndarray:
+        if self.parts:
+            self.total += np.bincount(np.concatenate(self.parts), minlength=len(self.total)).astype(np.int32)
+            self.parts, self.waiting = [], 0
+        return self.total
+
+
 def _blocks(values: np.ndarray):
     """(number, packed) of the blocks of a flat array that are not all zero."""
     flat = values.ravel()
@@ -291,7 +317,7 @@ def _read(documents: DataFrame, paths) -> DataFrame:
     def scan(batches):
         encode = subwords.shared(paths).encode
         words: Counter = Counter()
-        follows = np.zeros(VOCAB * BUCKETS, np.int32)
+        follows = Tally(VOCAB * BUCKETS)
         nothing = pa.nulls
 
         def counts():
@@ -310,7 +336,7 @@ def _read(documents: DataFrame, paths) -> DataFrame:
                     chain += MARKS, ids
             if chain:
                 both = np.concatenate([*chain, MARKS]).astype(np.int64)
-                np.add.at(follows, both[1:] * BUCKETS + buckets_of(both[:-1]), 1)
+                follows.add((both[1:] * BUCKETS + buckets_of(both[:-1])).astype(np.int32))
             if ends:
                 words[b"\n"] += ends
             n = batch.num_rows
@@ -319,7 +345,7 @@ def _read(documents: DataFrame, paths) -> DataFrame:
                 yield counts()
                 words.clear()
         yield counts()
-        blocks = list(_blocks(follows))
+        blocks = list(_blocks(follows.flush()))
         n = len(blocks)
         yield pa.RecordBatch.from_arrays([nothing(n, pa.int64()), nothing(n, pa.bool_()), nothing(n, pa.string()), nothing(n, pa.binary()), nothing(n, pa.int64()), nothing(n, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=names)
 
@@ -333,14 +359,15 @@ def _count_pairs(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
     cls = texts.sparkSession.sparkContext.broadcast(classes)
 
     def scan(batches):
-        own, total, seen = cls.value, np.zeros(VOCAB * (CLASSES + 1), np.int32), np.zeros(VOCAB, np.int64)
+        own, pairs, seen = cls.value, Tally(VOCAB * (CLASSES + 1)), Tally(VOCAB)
         for batch in batches:
             chain = [x for raw in batch.column(0).to_pylist() for x in (MARKS, np.frombuffer(raw, np.uint16))]
             if chain:  # a mark ends one text and begins the next
                 both = np.concatenate([*chain, MARKS]).astype(np.int64)
-                np.add.at(total, both[:-1] * (CLASSES + 1) + own[both[1:]], 1)
-                seen += np.bincount(both[1:], minlength=VOCAB)
-        total[CLASSES :: CLASSES + 1] = seen
+                pairs.add((both[:-1] * (CLASSES + 1) + own[both[1:]]).astype(np.int32))
+                seen.add(both[1:].astype(np.int32))
+        total = pairs.flush()
+        total[CLASSES :: CLASSES + 1] = seen.flush()
         blocks = list(_blocks(total))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=["block", "packed"])
 
@@ -448,15 +475,14 @@ def score_documents(documents: DataFrame, head: int = HEAD, part: int = PART, ro
     def scan(batches):
         w, c, t, s, h, n = sent.value
         model, base = Model(w, c, t, s), BaseScorer(h, n, z)
-        end = base.cache[b"\n"]
         for batch in batches:
             ids = [np.frombuffer(b, np.uint16).astype(np.int64) for b in batch.column(4).to_pylist()]
             scores = model.score_many(ids) if ids else []
-            rows = [base(x) for x in batch.column(3).to_pylist()]
+            rows = base(batch.column(3).to_pylist())
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), batch.column(2), pa.array(columns[0], pa.int64()), pa.array([k + (end != 0.0) for k in columns[1]], pa.int64()), pa.array([b + end for b in columns[2]], pa.float64()),
-                pa.array([r if end != 0.0 else [*r, END_WORD] for r in columns[3]], pa.list_(pa.int64())), pa.array(scores, pa.float64()), pa.array([len(i) + 1 for i in ids], pa.int64()),
+                batch.column(0), batch.column(1), batch.column(2), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
+                pa.array(columns[3], pa.list_(pa.int64())), pa.array(scores, pa.float64()), pa.array([len(i) + 1 for i in ids], pa.int64()),
             ], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "n_subwords"])
 
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, n_subwords long"
