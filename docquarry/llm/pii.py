@@ -6,7 +6,8 @@ each carrying for every output character the source range it stands for:
 1. characters: invisible ones vanish, full-width and mathematical forms and
    Cyrillic and Greek look-alikes become the Latin letters they resemble;
 2. spelled digits ("five five five", "null eins", "cero uno", "zéro un") in
-   runs of seven or more become digits, a "plus" before them "+";
+   runs of seven or more, three of them words, become digits, a "plus" before
+   them "+"; letters O and l or I within a long number become 0 and 1;
 3. "[at]", "(dot)", "{arroba}", and " at " where " dot " follows in the same
    address, become "@" and ".".
 
@@ -118,14 +119,18 @@ _LOOKALIKES = _CYRILLIC | _GREEK | _INVISIBLE
 _FORMS = "！-～\U0001d400-\U0001d7ff①-⑳Ⓐ-ⓩ⁰-⁹₀-₉"
 _ODD = re.compile(f"[{''.join(_LOOKALIKES)}{_FORMS}]")
 _WORDS = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus\W{{1,3}})?(?:(?:{_WORDS}|[0-9])[ \t,.\-]{{1,3}}){{{MIN_SPELLED - 1},40}}(?:{_WORDS}|[0-9])(?!\w)")
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus\W{{1,3}})?(?:(?:{_WORDS}|[0-9]{{1,4}})[ \t,.\-]{{1,3}}){{{MIN_SPELLED - 1},40}}(?:{_WORDS}|[0-9]{{1,4}})(?!\w)")
 _SPELLED_HINT = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})[ \t,.\-]{{1,3}}(?:{_WORDS})[ \t,.\-]{{1,3}}(?:{_WORDS}|[0-9])(?!\w)")
-_DIGIT_TOKEN = re.compile(rf"(?i)plus|{_WORDS}|[0-9]")
+_DIGIT_TOKEN = re.compile(rf"(?i)plus|{_WORDS}|[0-9]+")
+MIN_WORDS = 3
+_LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ .()\-]{0,2}[0-9OoIl]){4,40}(?![A-Za-z0-9])")
+_LETTERS = str.maketrans("OoIl", "0011")
+LEAST_DIGITS = 0.7
 _AT, _DOT = r"(?:at|arroba|arobase|ät|klammeraffe|@)", r"(?:dot|punkt|punto|point|\.)"
 _BRACKET_AT = re.compile(rf"(?i)[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}{_AT}[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}")
 _BRACKET_DOT = re.compile(rf"(?i)[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}{_DOT}[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}")
 _SPACED = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}([ \t]{1,3}(?:at|arroba|arobase|ät)[ \t]{1,3}|[ \t]{0,3}@[ \t]{0,3})"
+    r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}(?:[ \t]{1,3}(?:dot|punkt|punto|point)[ \t]{1,3}[A-Za-z0-9._%+-]{1,64}){0,4})([ \t]{1,3}(?:at|arroba|arobase|ät)[ \t]{1,3}|[ \t]{0,3}@[ \t]{0,3})"
     r"[A-Za-z0-9-]{1,63}((?:(?:[ \t]{1,3}(?:dot|punkt|punto|point)[ \t]{1,3}|\.)[A-Za-z0-9-]{1,63}){1,6})"
 )
 _SPACED_DOT = re.compile(r"(?i)[ \t]{1,3}(?:dot|punkt|punto|point)[ \t]{1,3}")
@@ -158,18 +163,33 @@ def _characters(r: Rewritten) -> None:
     r.replace([(m.start(), m.end(), _LOOKALIKES[m[0]] if m[0] in _LOOKALIKES else unicodedata.normalize("NFKC", m[0])) for m in _ODD.finditer(r.text)])
 
 
+def _spelled_runs(text: str):
+    """Matches of spelled numbers with words enough."""
+    return [m for m in _SPELLED.finditer(text) if sum(t[0][0].isalpha() for t in _DIGIT_TOKEN.finditer(m[0])) >= MIN_WORDS]
+
+
 def _digits(r: Rewritten) -> None:
     edits = []
-    for run in _SPELLED.finditer(r.text):
-        tokens = list(_DIGIT_TOKEN.finditer(r.text, run.start(), run.end()))
+    for run in _spelled_runs(r.text):
         at = run.start()
-        for t in tokens:
+        for t in _DIGIT_TOKEN.finditer(r.text, run.start(), run.end()):
             if t.start() > at:
                 edits.append((at, t.start(), ""))
             word = t[0].lower()
-            edits.append((t.start(), t.end(), "+" if word == "plus" else _DIGIT_WORDS.get(word, word)))
+            if not word.isdigit():
+                edits.append((t.start(), t.end(), "+" if word == "plus" else _DIGIT_WORDS[word]))
             at = t.end()
     r.replace(edits)
+    edits = []
+    for run in _lettered_runs(r.text):
+        edits += [(run.start() + i, run.start() + i + 1, c.translate(_LETTERS)) for i, c in enumerate(run[0]) if c in "OoIl"]
+    r.replace(edits)
+
+
+def _lettered_runs(text: str):
+    """Long numbers in which a few digits are letters that look like them."""
+    found = [m for m in _LETTERED.finditer(text) if any(c in "OoIl" for c in m[0])]
+    return [m for m in found if sum(c.isdigit() for c in m[0]) >= LEAST_DIGITS * sum(c.isalnum() for c in m[0])]
 
 
 def _signs(r: Rewritten) -> None:
@@ -178,9 +198,9 @@ def _signs(r: Rewritten) -> None:
     if _DOT_WORD.search(r.text):
         edits = []
         for m in _SPACED.finditer(r.text):
-            dots = list(_SPACED_DOT.finditer(r.text, m.start(2), m.end(2)))
-            if dots or "@" in m[1]:
-                edits += [(m.start(1), m.end(1), "@"), *((d.start(), d.end(), ".") for d in dots)]
+            before, after = (list(_SPACED_DOT.finditer(r.text, m.start(g), m.end(g))) for g in (1, 3))
+            if after or "@" in m[2]:
+                edits += [*((d.start(), d.end(), ".") for d in before), (m.start(2), m.end(2), "@"), *((d.start(), d.end(), ".") for d in after)]
         r.replace(edits)
 
 
@@ -188,15 +208,15 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     """Identifiers that show only after rewriting, at their source offsets."""
     odd, spelled = _ODD.search(text), _SPELLED_HINT.search(text)
     signs = _BRACKET_AT.search(text) or _BRACKET_DOT.search(text) or _DOT_WORD.search(text)
-    if not (odd or spelled or signs):
+    lettered = _lettered_runs(text)
+    if not (odd or spelled or signs or lettered):
         return []
     r = Rewritten(text)
     if odd:
         _characters(r)
     spelled_at: set[int] = set()
-    if spelled or odd:
-        before = r.text
-        spelled_at = {r.from_[m.start()] for m in _SPELLED.finditer(before)}
+    if spelled or odd or lettered:
+        spelled_at = {r.from_[m.start()] for m in _spelled_runs(r.text)}
         _digits(r)
     _signs(r)
     found = []
