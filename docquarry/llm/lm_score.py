@@ -11,7 +11,7 @@ text; classes are clusters of subwords that follow alike subwords. o is the
 output of one causal attention head with distance bias over the window. Its
 embeddings and projections and U are trained in numpy by Adam, on executors:
 each task trains on a fixed part of the windows of its own training texts, and
-the weights are averaged by window counts, in ``ROUNDS`` rounds. So what is
+the weights are averaged by window counts (in ``ROUNDS`` rounds). So what is
 gathered grows with the corpus, while what comes to the driver is one table of
 counts and one set of weights.
 
@@ -34,6 +34,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ from pyspark.sql import functions as F
 from docquarry.llm import common, subwords
 
 HELD_OUT = (5, 1)
-HEAD = 1 << 18
-CACHE = 300_000
+HEAD = 1 << 19
+CACHE = 150_000
 
 VOCAB = subwords.SIZE
 MARK = VOCAB - 1  # stands before the first and after the last subword
@@ -56,26 +57,30 @@ STRIDE = WINDOW - CONTEXT
 WIDTH, KEY = 16, 8
 SLOPE = 0.15
 #: One window in so many is trained on, in each of so many rounds.
-PART, ROUNDS = 40, 2
+PART, ROUNDS = 24, 1
 BATCH, RATE = 64, 0.01
 BLOCK = 1 << 16
-TALLY = 2_000_000
+TALLY = 1_000_000
 CHUNK = 128  # windows scored at once
 
 
 # ---- words -----------------------------------------------------------------
 
-def word_hash(word: bytes) -> int:
+def word_hashes(words) -> np.ndarray:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+    words = list(words)
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-END_WORD = word_hash(b"\n")  # no word holds white space
+END = b"\n"  # the end token among words; no word holds white space
+
+
+NEW = 1.0  # no logarithm of a share is positive
 
 
 class BaseScorer:
@@ -83,30 +88,32 @@ class BaseScorer:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, z: float):
         self.hashes, self.logs, self.cache = hashes, np.log10((counts + 0.5) / z), {}
-        self.end = float(self._look_up([b"\n"])[0])
 
     def _look_up(self, words: list[bytes]) -> np.ndarray:
         """The logs of the words, 0 where the count is not at hand."""
-        h = np.fromiter(map(word_hash, words), np.int64, len(words))
+        h = word_hashes(words)
         if not len(self.hashes):
             return np.zeros(len(h))
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.logs[at], 0.0)
 
-    def __call__(self, texts: list[str]) -> list[tuple[int, int, float, list[int]]]:
-        """For each text: tokens, those at hand, their sum, hashes of those that must join; the end token is one of them."""
-        split = [words_of(t) for t in texts]
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """For each text, the end token included: tokens, those at hand, their sum, hashes of those that must join."""
+        split = [words_of(t) + [END] for t in texts]
+        n = np.array(list(map(len, split)), np.int64)
+        words = list(chain.from_iterable(split))
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list(set().union(*split).difference(self.cache))
-        self.cache.update(zip(new, self._look_up(new).tolist()))
-        out, ready = [], self.end != 0.0
-        for words in split:
-            logs = list(map(self.cache.__getitem__, words))
-            rare = [word_hash(w) for w, v in zip(words, logs) if v == 0.0] if 0.0 in logs else []
-            known = len(words) - len(rare) + ready
-            out.append((len(words) + 1, known, math.fsum(logs) + self.end, rare if ready else [*rare, END_WORD]))
-        return out
+        logs = np.fromiter(map(self.cache.get, words, repeat(NEW)), np.float64, len(words))
+        at = np.flatnonzero(logs == NEW)
+        new = [words[i] for i in at.tolist()]
+        logs[at] = found = self._look_up(new)
+        self.cache.update(zip(new, found.tolist()))
+        owner = np.repeat(np.arange(len(split)), n)
+        at = np.flatnonzero(logs == 0.0)
+        rare = np.bincount(owner[at], minlength=len(split))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)]), pa.int32()), pa.array(word_hashes(words[i] for i in at.tolist())))
+        return n, n - rare, np.bincount(owner, logs, len(split)), lists
 
 
 # ---- the model -------------------------------------------------------------
@@ -323,22 +330,22 @@ def _read(documents: DataFrame, paths) -> DataFrame:
         def counts():
             keys = list(words)
             n = len(keys)
-            return pa.RecordBatch.from_arrays([nothing(n, pa.int64()), nothing(n, pa.bool_()), nothing(n, pa.string()), nothing(n, pa.binary()), pa.array([word_hash(k) for k in keys], pa.int64()), pa.array([words[k] for k in keys], pa.int64()), nothing(n, pa.int32()), nothing(n, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([nothing(n, pa.int64()), nothing(n, pa.bool_()), nothing(n, pa.string()), nothing(n, pa.binary()), pa.array(word_hashes(keys)), pa.array([words[k] for k in keys], pa.int64()), nothing(n, pa.int32()), nothing(n, pa.binary())], names=names)
 
         for batch in batches:
-            out, chain, ends = [], [], 0
+            out, row, ends = [], [], 0
             for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
                 ids = np.array(encode(text), np.uint16)
                 out.append(ids.tobytes())
                 if not held:
                     words.update(words_of(text))
                     ends += 1
-                    chain += MARKS, ids
-            if chain:
-                both = np.concatenate([*chain, MARKS]).astype(np.int64)
+                    row += MARKS, ids
+            if row:
+                both = np.concatenate([*row, MARKS]).astype(np.int64)
                 follows.add((both[1:] * BUCKETS + buckets_of(both[:-1])).astype(np.int32))
             if ends:
-                words[b"\n"] += ends
+                words[END] += ends
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("text"), pa.array(out, pa.binary()), nothing(n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.int32()), nothing(n, pa.binary())], names=names)
             if len(words) > CACHE:  # bounded; the counts are added up later
@@ -361,9 +368,9 @@ def _count_pairs(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
     def scan(batches):
         own, pairs, seen = cls.value, Tally(VOCAB * (CLASSES + 1)), Tally(VOCAB)
         for batch in batches:
-            chain = [x for raw in batch.column(0).to_pylist() for x in (MARKS, np.frombuffer(raw, np.uint16))]
-            if chain:  # a mark ends one text and begins the next
-                both = np.concatenate([*chain, MARKS]).astype(np.int64)
+            row = [x for raw in batch.column(0).to_pylist() for x in (MARKS, np.frombuffer(raw, np.uint16))]
+            if row:  # a mark ends one text and begins the next
+                both = np.concatenate([*row, MARKS]).astype(np.int64)
                 pairs.add((both[:-1] * (CLASSES + 1) + own[both[1:]]).astype(np.int32))
                 seen.add(both[1:].astype(np.int32))
         total = pairs.flush()
@@ -372,7 +379,9 @@ def _count_pairs(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=["block", "packed"])
 
     rows = texts.filter("not held_out").select("ids").mapInArrow(scan, "block int, packed binary")
-    return _add_up(rows, VOCAB * (CLASSES + 1), np.int32).reshape(VOCAB, CLASSES + 1)
+    total = _add_up(rows, VOCAB * (CLASSES + 1), np.int32).reshape(VOCAB, CLASSES + 1)
+    cls.destroy()
+    return total
 
 
 def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np.ndarray, turn: int, part: int) -> dict:
@@ -425,6 +434,7 @@ def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np
 
     size = sum(weights[n].size for n in names) + 1
     total = _add_up(texts.filter("not held_out").select("rid", "ids").mapInArrow(scan, "block int, packed binary"), size, np.float32)
+    sent.destroy()
     if not total[-1]:
         return weights
     out, at = {}, 0
@@ -478,15 +488,16 @@ def score_documents(documents: DataFrame, head: int = HEAD, part: int = PART, ro
         for batch in batches:
             ids = [np.frombuffer(b, np.uint16).astype(np.int64) for b in batch.column(4).to_pylist()]
             scores = model.score_many(ids) if ids else []
-            rows = base(batch.column(3).to_pylist())
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
+            if not batch.num_rows:
+                continue
+            tokens, known, sums, rare = base(batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), batch.column(2), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
-                pa.array(columns[3], pa.list_(pa.int64())), pa.array(scores, pa.float64()), pa.array([len(i) + 1 for i in ids], pa.int64()),
+                batch.column(0), batch.column(1), batch.column(2), pa.array(tokens), pa.array(known), pa.array(sums), rare, pa.array(scores, pa.float64()), pa.array([len(i) + 1 for i in ids], pa.int64()),
             ], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "n_subwords"])
 
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, n_subwords long"
     scored = common.cut(texts.mapInArrow(scan, schema), "scored")
+    sent.destroy()
     rare = scored.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
     rare = rare.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     rare = rare.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(z))).alias("rest"))

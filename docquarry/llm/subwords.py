@@ -15,7 +15,8 @@ import re
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 SIZE = 50257
-_LATE = re.compile("[^\x00-ԯ]|\\s{5000}")
+_LATE = re.compile("[^\x00-\u052f]")
+_BLANK = re.compile("\\s{5000}")
 _made: dict = {}
 
 
@@ -49,8 +50,19 @@ class Subwords:
             self._exact.encode_special_tokens = True
         return self._exact
 
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Without late characters, and without a blank so long that the pattern of the fast path may give up on it."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                if _LATE.search(text):
+                    return False
+        return len(text) < 5000 or not _BLANK.search(text)
+
     def encode(self, text: str) -> list[int]:
-        if _LATE.search(text):
+        if not self.plain(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
