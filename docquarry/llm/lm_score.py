@@ -61,6 +61,7 @@ PART, ROUNDS = 24, 1
 BATCH, RATE = 64, 0.01
 BLOCK = 1 << 16
 TALLY = 1_000_000
+FEW = 64  # texts whose words are looked up together; more would leave the processor's cache
 CHUNK = 128  # windows scored at once
 
 
@@ -490,7 +491,10 @@ def score_documents(documents: DataFrame, head: int = HEAD, part: int = PART, ro
             scores = model.score_many(ids) if ids else []
             if not batch.num_rows:
                 continue
-            tokens, known, sums, rare = base(batch.column(3).to_pylist())
+            texts_ = batch.column(3).to_pylist()
+            parts_ = [base(texts_[i : i + FEW]) for i in range(0, len(texts_), FEW)]
+            tokens, known, sums = (np.concatenate([p[i] for p in parts_]) for i in range(3))
+            rare = pa.concat_arrays([p[3] for p in parts_])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), batch.column(2), pa.array(tokens), pa.array(known), pa.array(sums), rare, pa.array(scores, pa.float64()), pa.array([len(i) + 1 for i in ids], pa.int64()),
             ], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "n_subwords"])
