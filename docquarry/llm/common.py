@@ -56,7 +56,7 @@ def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "4m") -> None:
     """Bound what one Arrow batch holds, so very long texts do not pile up in a Python worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -90,3 +90,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables that ``cut`` has written for this application; results read from them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docquarry-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
