@@ -462,3 +462,33 @@ def failure_filter(spark, sf_dir):
 @query("select avg(value)::double as mean, quantile_cont(value::double, 0.5) as p50, quantile_cont(value::double, 0.95) as p95 from events")
 def latency_percentiles(spark, sf_dir):
     return evaluate.latency_summary(_t(spark, sf_dir, "events"), "value")
+
+
+_WORDS = r"list_filter(string_split_regex(lower({}), '\s+'), lambda x: x <> '')"
+
+
+@query(f"""with {_POSTINGS}, r as ({_ranked('scored', 20)}),
+w as (select r.qid, r.chunk_id, r.rank as pre, list_distinct({_WORDS.format("b.text")}) as q, list_distinct(list_slice({_WORDS.format("d.text")}, 1, 512)) as t
+      from r join benchmark b on b.item_id = r.qid join documents d on d.doc_id::varchar = r.chunk_id),
+s as (select qid, chunk_id, pre, round(10.0::double * len(list_intersect(q, t)) / len(q) - 5, 6) as rerank_score from w)
+select * from (select qid, chunk_id, pre::bigint as pre_rerank_rank, rerank_score, row_number() over (partition by qid order by rerank_score desc, chunk_id)::bigint as rank from s) where rank <= 5""")
+def reranked(spark, sf_dir):
+    """The lexical candidates of every benchmark passage, reranked by the stand-in cross-encoder."""
+    found = bm25.search(bm25.build_index(_docs(spark, sf_dir)), _questions(spark, sf_dir)).join(_docs(spark, sf_dir), "chunk_id").join(F.broadcast(_questions(spark, sf_dir)), "qid")
+    return _longs(fusion.rerank(found, 5).select("qid", "chunk_id", "pre_rerank_rank", F.round("rerank_score", 6).alias("rerank_score"), "rank"))
+
+
+@query("""with r as (select doc_id::varchar as chunk_id, source as document_id, length(text)::bigint as n from documents)
+select case when quality = 1 and toxic = 0 then 'answered' else 'abstain' end as status, count(*)::bigint as n_cases, sum(case when n >= 1000 then 1 else 0 end)::bigint as n_passed from labels join r on r.chunk_id = doc_id::varchar group by 1""")
+def case_grading(spark, sf_dir):
+    """Suite grading over labelled documents: a case passes if a document of at least 1,000 characters has its expected status."""
+    labels = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    expected = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "answered").otherwise("abstain")
+    numbered = labels.withColumn("id", F.concat_ws("/", "doc_id", F.lit(1))).withColumn("expected_status", expected)
+    cases = numbered.select("id", F.lit("q").alias("question"), "expected_status", F.lit(None).cast("string").alias("expected_article"), F.lit("").alias("purpose"))
+    results = numbered.select(
+        F.col("id").alias("qid"), F.lit("q").alias("question"), F.when(F.col("n") >= 1000, F.col("expected_status")).otherwise("supported").alias("status"),
+        F.array().cast("array<struct<article_number:string>>").alias("sources"), F.struct(F.lit(True).alias("valid")).alias("citation_validation"), F.lit(0).alias("attempts"),
+    )
+    graded = evaluate.grade_cases(cases, results)
+    return graded.groupBy(F.col("expected_status").alias("status")).agg(F.count("*").alias("n_cases"), F.count_if("passed").alias("n_passed"))

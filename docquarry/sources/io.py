@@ -67,6 +67,7 @@ def with_vector_index(chunks: DataFrame, *order: str) -> DataFrame:
     """
     keys = order or ("chunk_id",)
     parts = chunks.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    parts = parts.persist()  # both uses below must see the same ranges
     local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1)
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")  # one row a partition
