@@ -57,7 +57,7 @@ STRIDE = WINDOW - CONTEXT
 WIDTH, KEY = 16, 8
 SLOPE = 0.15
 #: One window in so many is trained on, in each of so many rounds.
-PART, ROUNDS = 24, 2
+PART, ROUNDS = 16, 1
 BATCH, RATE = 64, 0.01
 BLOCK = 1 << 16
 TALLY = 1_000_000
