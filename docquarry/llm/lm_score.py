@@ -10,8 +10,8 @@ p(. | class) the smoothed share in the class, both counted over every training
 text; classes are clusters of subwords that follow alike subwords. o is the
 output of one causal attention head with distance bias over the window. Its
 embeddings and projections and U are trained in numpy by Adam, on executors:
-each task trains on a fixed part of the windows of its own training texts, and
-the weights are averaged by window counts (in ``ROUNDS`` rounds). So what is
+each task trains on every window of its own training texts, and the weights
+are averaged by window counts (in ``ROUNDS`` rounds). So what is
 gathered grows with the corpus, while what comes to the driver is one table of
 counts and one set of weights.
 
@@ -56,8 +56,8 @@ WINDOW, CONTEXT = 32, 8
 STRIDE = WINDOW - CONTEXT
 WIDTH, KEY = 16, 8
 SLOPE = 0.15
-#: One window in so many is trained on, in each of so many rounds.
-PART, ROUNDS = 16, 1
+#: Times that every window is trained on.
+ROUNDS = 1
 BATCH, RATE = 64, 0.01
 BLOCK = 1 << 16
 TALLY = 1_000_000
@@ -385,8 +385,8 @@ def _count_pairs(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
     return total
 
 
-def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np.ndarray, turn: int, part: int) -> dict:
-    """Each task trains on its windows; weights are averaged by windows."""
+def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np.ndarray) -> dict:
+    """Each task trains on all its windows; weights are averaged by windows."""
     sent = texts.sparkSession.sparkContext.broadcast((weights, classes, table))
     names = ("e", "q", "k", "v", "u")
 
@@ -403,9 +403,8 @@ def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np
             v[n][rows] += 0.01 * (g * g - v[n][rows])
             w[n][rows] -= (RATE * (m[n][rows] / (1 - 0.9**k)) / (np.sqrt(v[n][rows] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
 
-        def learn(chunk):
+        def learn(x, y, seen):
             nonlocal done
-            x, y, seen = (np.concatenate([c[i] for c in chunk]) for i in range(3))
             _, g, rows = train_step(w, t, x, cls[y], seen)
             done += 1
             steps[rows] += 1
@@ -414,27 +413,25 @@ def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np
 
         waiting = 0
         for batch in batches:
-            for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(raw, np.uint16)
-                n = windows_in(len(ids))
-                picked = np.flatnonzero((np.arange(n) * 40503 + zlib.crc32(raw[:64]) + turn * 7919) % part == 0)
-                if len(picked):
-                    x, y, seen = padded(ids)
-                    pool.append((x[picked], y[picked], seen[picked]))
-                    waiting += len(picked)
-                    windows += len(picked)
-                if waiting >= BATCH:
-                    learn(pool)
-                    pool, waiting = [], 0
-        if pool:
-            learn(pool)
+            for raw in batch.column(0).to_pylist():
+                pool.append(padded(np.frombuffer(raw, np.uint16)))
+                waiting += len(pool[-1][0])
+                windows += len(pool[-1][0])
+                if waiting >= BATCH:  # full steps only; the rest waits for the next text
+                    x, y, seen = (np.concatenate([c[i] for c in pool]) for i in range(3))
+                    full = waiting - waiting % BATCH
+                    for i in range(0, full, BATCH):
+                        learn(x[i : i + BATCH], y[i : i + BATCH], seen[i : i + BATCH])
+                    pool, waiting = [(x[full:], y[full:], seen[full:])], waiting - full
+        if waiting:
+            learn(*(np.concatenate([c[i] for c in pool]) for i in range(3)))
         if windows:
             flat = np.concatenate([w[n].ravel() for n in names] + [np.ones(1, np.float32)]) * np.float32(windows)
             blocks = list(_blocks(flat.astype(np.float32)))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=["block", "packed"])
 
     size = sum(weights[n].size for n in names) + 1
-    total = _add_up(texts.filter("not held_out").select("rid", "ids").mapInArrow(scan, "block int, packed binary"), size, np.float32)
+    total = _add_up(texts.filter("not held_out").select("ids").mapInArrow(scan, "block int, packed binary"), size, np.float32)
     sent.destroy()
     if not total[-1]:
         return weights
@@ -460,7 +457,7 @@ def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return words[order], n[order]
 
 
-def score_documents(documents: DataFrame, head: int = HEAD, part: int = PART, rounds: int = ROUNDS, paths=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(documents: DataFrame, head: int = HEAD, rounds: int = ROUNDS, paths=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords for each input row."""
     spark = documents.sparkSession
     common.small_batches(spark, 256, "4m")
@@ -478,8 +475,8 @@ def score_documents(documents: DataFrame, head: int = HEAD, part: int = PART, ro
     classes = make_classes(_add_up(read.filter("block is not null"), VOCAB * BUCKETS, np.int32).reshape(VOCAB, BUCKETS))
     table, share = make_tables(_count_pairs(texts, classes), classes)
     weights = fresh_weights()
-    for turn in range(rounds):
-        weights = _train_round(texts, weights, classes, table, turn, part)
+    for _ in range(rounds):
+        weights = _train_round(texts, weights, classes, table)
 
     sent = spark.sparkContext.broadcast((weights, classes, table, share, hashes, numbers))
 

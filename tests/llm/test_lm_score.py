@@ -109,3 +109,15 @@ def test_odd_rows(spark):
     held = [d for d in range(100) if fold_of(d, 5) == 1][:3]
     only = spark.createDataFrame([(d, f"w{r.random()}") for d in held], "doc_id long, text string")
     assert {g.train_tokens for g in lm.score_documents(only).collect()} == {0}
+
+
+def test_every_window_of_the_training_texts_is_trained_on(spark, monkeypatch):
+    encode, r = subwords.shared().encode, random.Random(4)
+    kept = [d for d in range(60) if fold_of(d, 5) != 1]
+    rows = [(d, " ".join(r.choice(("river", "stone", "lamp", "cloud")) + str(r.randrange(10**6)) for _ in range(150))) for d in kept]
+    seen, train = [], lm._train_round
+    monkeypatch.setattr(lm, "_train_round", lambda texts, weights, *how: seen.append((weights, train(texts, weights, *how))) or seen[-1][1])
+    assert lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    ids = sorted({i for _, t in rows for i in encode(t)})
+    before, after = seen[0][0]["e"], seen[-1][1]["e"]
+    assert len(ids) > 300 and (before[ids] != after[ids]).any(1).all()
