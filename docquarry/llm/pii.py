@@ -13,7 +13,10 @@ each carrying for every output character the source range it stands for:
 
 Identifiers found in the rewritten text that rest on a rewrite are mapped back
 to source offsets (code points, end exclusive). Base spans always stay; a
-disguised span that touches a base span of its kind is dropped.
+disguised span is added unless a span of its kind contains it. Where it grows a
+base span, three things are prose, no disguise: a group of letters alone at its
+end ("+1 555 123 4567 I"), a Cyrillic or Greek word that runs on beyond it, and
+"point", "punkt" or "punto" beside an address that is whole without them.
 
 Cases: a null text counts as empty; an empty text has no spans; each input row
 gives one output row; extra columns are ignored; all scans are linear in the
@@ -135,6 +138,8 @@ _SPACED = re.compile(
 )
 _SPACED_DOT = re.compile(r"(?i)[ \t]{1,3}(?:dot|punkt|punto|point)[ \t]{1,3}")
 _DOT_WORD = re.compile(r"(?i)[ \t](?:dot|punkt|punto|point)[ \t]| @|@ ")
+_LONE_LETTERS = re.compile(r"^[OoIl]+[ .()\-]+[0-9]|[0-9][ .()\-]+[OoIl]+$")
+_ONE_WORD = re.compile("[\u0370-\u052f]{2}")
 _TLD = re.compile(r"\.[A-Za-z]{2,24}$")
 
 
@@ -199,6 +204,8 @@ def _signs(r: Rewritten) -> None:
         edits = []
         for m in _SPACED.finditer(r.text):
             before, after = (list(_SPACED_DOT.finditer(r.text, m.start(g), m.end(g))) for g in (1, 3))
+            if m[2] == "@" and "." in _SPACED_DOT.sub("", m[3]):  # a whole address already
+                before, after = ([d for d in part if d[0].strip().lower() == "dot"] for part in (before, after))
             if after or "@" in m[2]:
                 edits += [*((d.start(), d.end(), ".") for d in before), (m.start(2), m.end(2), "@"), *((d.start(), d.end(), ".") for d in after)]
         r.replace(edits)
@@ -229,7 +236,9 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
         start, end = r.from_[a], r.to[b - 1]
         if text[start:end] == r.text[a:b] or kind == "email" and not _TLD.search(r.text[a:b]):
             continue
-        if any(k == kind and start < y and x < end for k, x, y in taken):
+        if any(k == kind and x <= start and end <= y for k, x, y in taken):
+            continue
+        if any(k == kind and start < y and x < end for k, x, y in base) and (_LONE_LETTERS.search(text[start:end]) or any(_ONE_WORD.fullmatch(text, at - 1, at + 1) for at in (start, end) if at)):
             continue
         taken.append((kind, start, end))
         found.append((kind, start, end))

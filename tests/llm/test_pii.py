@@ -76,3 +76,23 @@ def test_redaction_and_odd_rows(spark):
     assert len(got) == 5
     assert sorted((g.redacted for g in got)) == ["", "", "<email>, <phone>", "<email>, <phone>", "<ip>"]
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_disguises_beside_a_plain_match_are_added():
+    for kind, value, base in [
+        ("email", "jоhn@example.com", "hn@example.com"),
+        ("email", "jane[dot]doe@example.com", "doe@example.com"),
+        ("email", "jane dot doe@example.com", "doe@example.com"),
+        ("email", "john@example.cоm", "john@example.c"),
+        ("email", "john@mail.example[dot]com", "john@mail.example"),
+        ("phone", "+1 555 123 456O", "+1 555 123 456"),
+    ]:
+        text = f"so {value} ok"
+        spans = pii.find_spans(text)
+        assert {(k, text[a:b], d) for k, a, b, d in spans} == {(kind, base, False), (kind, value, True)}, (text, spans)
+        assert pii.redact(text, spans) == f"so <{kind}> ok"
+
+
+def test_prose_beside_a_plain_match_is_not_added():
+    for text in ["call +1 555 123 4567 I am in", "at this point john@example.com wrote", "john@example.com point taken", "почтаjohn@example.com"]:
+        assert [s for s in pii.find_spans(text) if s[3]] == [], text
