@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an overlap with the benchmark."""
-    return decontamination.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    return decontamination.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

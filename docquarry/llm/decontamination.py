@@ -4,21 +4,25 @@ Text and benchmark become lower-case runs of letters and digits. A mask names
 the offsets of a span that are hashed; the tokens between may differ. Of the
 two masks (six of nine tokens each) at least one matches somewhere in any
 thirteen aligned tokens of which eleven agree, so every such overlap has a
-seed hit. Hits fix an item, a document and a shift between them; around each
+seed hit. Shorter items have masks of their own length, so many that
+whatever may differ by ``similarity`` one is left whole; items of up to four
+tokens must agree in all of them. Hits fix an item, a document and a shift between them; around each
 shift the tokens are compared, and the overlap counts if some window of
 ``window`` tokens agrees in at least ``similarity`` of them.
 
 Only the benchmark side of the joins is broadcast, after its rows are counted;
 beyond ``BROADCAST_ROWS`` the joins shuffle on the seed and on the document.
 
-Cases: null texts and texts of fewer than nine tokens match nothing; an item
-of nine to twelve tokens must agree in its whole length by ``similarity``; rows
+Cases: null texts match nothing; an item of fewer than ``window`` tokens must
+agree in its whole length by ``similarity``; items of fewer than ``shortest``
+tokens are left out (the queries leave out none but empty ones); rows
 without id are not reported; rows that repeat an id are one document; extra
 columns are ignored; an empty side gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +55,27 @@ def _seeds(df: DataFrame, key: str) -> DataFrame:
     return own.select(key, "_n", F.posexplode_outer("_h").alias("_pos", "seed")).select(key, "seed", (F.col("_pos") % F.col("_n")).alias("at"))
 
 
-def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def short_masks(width: int, differ: int) -> list[tuple[int, ...]]:
+    """Offsets to hash, so that whichever ``differ`` of ``width`` tokens differ, one mask holds none of them."""
+    parts = min(width, differ + 2 if 0 < differ < 3 else differ + 1)
+    blocks = [range(i * width // parts, (i + 1) * width // parts) for i in range(parts)]
+    return [tuple(o for b in kept for o in b) for kept in itertools.combinations(blocks, parts - differ)]
+
+
+def _short_seeds(df: DataFrame, key: str, own_width: Column | None, widths: list[tuple[int, int]]) -> DataFrame:
+    """(key, seed, at) of the masks of each (width, tokens that may differ), from as far outside ``t`` as may differ; ``own_width`` picks one width a row."""
+    n, none = F.size("t"), F.array().cast("array<struct<seed:bigint,at:int>>")
+    every = []
+    for width, differ in widths:
+        fits = n >= width - differ
+        places = F.sequence(F.lit(-differ), n - width + differ)
+        for number, mask in enumerate(short_masks(width, differ)):
+            made = F.transform(places, lambda i: F.struct(F.xxhash64(*(F.get("t", i + o) for o in mask), F.lit(width), F.lit(number)).alias("seed"), i.alias("at")))
+            every.append(F.when(fits if own_width is None else fits & (own_width == width), made).otherwise(none))
+    return df.select(key, F.explode_outer(F.concat(*every)).alias("_s")).select(key, "_s.seed", "_s.at")
+
+
+def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, shortest: int = SPAN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shifts, best_agreeing, item_tokens, longest_agreeing) for each verified pair.
 
     best_agreeing: most agreeing tokens of the item under one shift;
@@ -59,10 +83,18 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).filter("doc_id is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(item_text_col)).alias("t")).filter("item_id is not null")
-    items = common.cut(items.filter(F.size("t") >= SPAN), "items")
-    wanted = common.cut(_seeds(items, "item_id").withColumnRenamed("at", "item_at"), "seeds")
+    items = common.cut(items.filter(F.size("t") >= max(1, shortest)), "items")
+    own_width = F.least(F.lit(window), F.size("t"))
+    widths = sorted(r[0] for r in items.filter(F.size("t") < WINDOW).select(own_width).distinct().collect())  # twelve at most
+    widths = [(w, w - math.ceil(w * math.nextafter(similarity, 0))) for w in widths]
+    wanted, met = _seeds(items, "item_id"), docs.select("doc_id", tokens(F.col("_text")).alias("t"))
+    seeds = _seeds(met, "doc_id")
+    if widths:
+        wanted = wanted.unionByName(_short_seeds(items.filter(F.size("t") < WINDOW), "item_id", own_width, widths))
+        seeds = seeds.unionByName(_short_seeds(met, "doc_id", None, widths))
+    wanted = common.cut(wanted.withColumnRenamed("at", "item_at"), "seeds")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = _seeds(docs.select("doc_id", tokens(F.col("_text")).alias("t")), "doc_id").join(F.broadcast(wanted) if few else wanted, "seed")
+    hits = seeds.join(F.broadcast(wanted) if few else wanted, "seed")
     hits = common.cut(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
 
     # the text is read again for the documents with hits only
@@ -92,4 +124,4 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str =
 
 
 def query(spark, sf_dir) -> DataFrame:
-    return find_overlaps(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return find_overlaps(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), shortest=1)

@@ -69,3 +69,32 @@ def test_verbatim_items_are_all_found(spark):
     inside = {(d, i) for i, t in items.collect() for d, x in texts if t in x}
     assert inside <= got
     assert len({d for d, _ in got}) < 0.1 * len(texts)
+
+
+def test_short_items_equal_brute_force(spark):
+    for n in range(1, 13):
+        differ = n - math.ceil(0.8 * n - 1e-9)
+        masks = dc.short_masks(n, differ)
+        assert all(any(not set(m) & set(bad) for m in masks) for bad in itertools.combinations(range(n), differ))
+    r = random.Random(7)
+    items = [(i, " ".join(f"v{r.randrange(60)}" for _ in range(i % 16 + 1))) for i in range(48)] + [(48, "人工智能的历史"), (49, "")]
+    docs = [(900, "关于。人工智能的历史。结束"), (901, ""), (902, None)]
+    for d in range(300):
+        piece = toks(items[d % 48][1])
+        for _ in range(r.randint(0, 3)):
+            piece[r.randrange(len(piece))] = "x"
+        words = [f"v{r.randrange(60)}" for _ in range(r.randint(0, 20))]
+        at = r.choice([0, len(words), r.randint(0, len(words))])
+        docs.append((d, " ".join(words[:at] + piece + words[at:])))
+    want = set()
+    for d, text in docs:
+        a = toks(text)
+        for i, item in items:
+            b, w = toks(item), min(13, len(toks(item)))
+            for shift in range(-len(b), len(a)) if b else ():
+                same = [0 <= shift + k < len(a) and a[shift + k] == b[k] for k in range(len(b))]
+                if max(sum(same[k : k + w]) for k in range(len(b) - w + 1)) >= math.ceil(0.8 * w - 1e-9):
+                    want.add((d, i))
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in dc.find_overlaps(*tables, shortest=1).collect()} == want
+    assert (900, 48) in want
