@@ -6,8 +6,9 @@ probability of being good, and their mean, weighted by the lines' lengths, goes
 through a fitted logistic curve to the score of the text.
 
 The field is trained in numpy on the driver, on at most ``SAMPLE`` labelled
-documents (those with the least hash of their id), of each the first
-``TRAIN_LINES`` lines; all lines of a document carry its label. Scoring covers
+documents (those with the least hash of their id), always with all their lines;
+where these together exceed ``LINES``, on fewer documents, and one that exceeds
+it alone is not in the sample. All lines of a document carry its label. Scoring covers
 every line of every text. Nothing but the text enters a score.
 
 Cases: null and empty texts are one empty line; without labels of both classes
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from docquarry.llm import common
 
 SAMPLE = 4000
-TRAIN_LINES = 150
+LINES = 300_000
+PADDED = 1.5  # most lines of a document to the fewest, in one block of training
 ROUNDS = 250
 RIDGE = 1e-3
 HELD_OUT = (3, 1)
@@ -137,10 +139,16 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUND
     rate = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return {"rate": rate}
-    steps = max(len(o) for o, *_ in samples)
     order = np.argsort([len(o) for o, *_ in samples], kind="stable")
     blocks = []  # of documents of like length, to pad little
+    parts, sizes = [], [len(o) for o, *_ in samples]
     for part in np.array_split(order, max(1, min(12, len(order) // 50))):
+        first = 0
+        for i in range(1, len(part) + 1):
+            if i == len(part) or sizes[part[i]] > PADDED * sizes[part[first]] + 8:
+                parts.append(part[first:i])
+                first = i
+    for part in parts:
         steps = max(len(samples[i][0]) for i in part)
         x, mask = np.zeros((len(part), steps, WIDTH)), np.zeros((len(part), steps), bool)
         for row, i in enumerate(part):
@@ -201,13 +209,23 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
         for batch in batches:
             made = [line_features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                pa.array([o[:TRAIN_LINES].ravel() for o, _ in made], pa.list_(pa.float64())), pa.array([n[:TRAIN_LINES] for _, n in made], pa.list_(pa.float64())), batch.column(2), batch.column(0),
+                pa.array([o.tobytes() for o, _ in made], pa.binary()), pa.array([n.tobytes() for _, n in made], pa.binary()), batch.column(2), batch.column(0),
             ], names=["own", "lengths", "quality", "doc_id"])
 
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(features, "own array<double>, lengths array<double>, quality int, doc_id long").collect()
+    sizes = texts.select("doc_id", "quality", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n"), F.xxhash64("doc_id").alias("h"))
+    taken, lines = set(), 0
+    for r in sorted(sizes.groupBy("h", "doc_id", "quality").agg(F.sum("n").alias("n")).collect()):
+        if r.n > LINES:
+            continue
+        if lines + r.n > LINES:
+            break
+        lines += r.n
+        taken.add(r.doc_id)
+    texts = texts.filter(F.col("doc_id").isin(taken))
+    got = texts.mapInArrow(features, "own binary, lengths binary, quality int, doc_id long").collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, r.own))  # the sum of gradients is the same whatever the tasks' order
-    return train([(np.array(r.own).reshape(-1, len(OWN)), np.array(r.lengths), r.quality) for r in got])
+    return train([(np.frombuffer(r.own).reshape(-1, len(OWN)), np.frombuffer(r.lengths), r.quality) for r in got])
 
 
 def score_documents(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,3 +77,11 @@ def test_odd_rows(spark):
     one = spark.createDataFrame([(1, 1), (4, None), (None, 0)], "doc_id long, quality int")
     assert {g.score for g in q.classify(docs, one).collect()} <= {0.5, 1.0}
     assert q.classify(docs.limit(0), one).count() == 0
+
+
+def test_lines_far_into_a_text_are_learnt(spark):
+    head = "the same plain line begins every text here.\n" * 160
+    rows = [(i, head + ("it goes on well and ends like this.\n" if i % 2 else "BUY!! NOW!! $$$ ###\n") * 60) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    got = q.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert all(g.predicted == g.doc_id % 2 for g in got)
