@@ -4,9 +4,10 @@ Base spans come from three patterns and always stay. Besides, weak candidates
 of three roles are gathered: access identifiers (client_id=..., user: ...),
 secrets (client_secret=..., long mixed tokens) and endpoints (urls, host=...).
 Each role's intervals are joined with the others' inside a scope, a block
-between blank lines, and within ``REACH`` code points: an identifier needs a
-secret and a secret an identifier, where base spans count as partners (access
-as identifier, assign as secret); an endpoint needs both. Weak candidates
+between blank lines; only where nothing but prose stands between them (no line
+end or other separator of fields) also within ``REACH`` code points. An
+identifier needs a secret and a secret an identifier, where base spans count as
+partners (access as identifier, assign and hex as secret); an endpoint needs both. Weak candidates
 without their complement are not reported, nor are those that touch a base span.
 
 A text's intervals are arrays in its own row, so the join needs no shuffle and
@@ -33,8 +34,9 @@ ASSIGN = rf"(?i:password|passwd|secret|token|api_?key){_VALUE}([A-Za-z0-9+/_.=-]
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # of 20 characters or more; a shorter run holds no longer one
 HEX = r"[0-9a-f]{24,}"
 WEAK_ID = rf"(?i:client_?id|access_?key(?:_?id)?|key_?id|account(?:_?(?:id|name))?|user(?:_?name)?|login){_VALUE}[A-Za-z0-9._@-]{{3,}}"
-WEAK_SECRET = rf"(?i:client_?secret|secret_?(?:access_?)?key|private_?key|passphrase|pass|pwd|auth){_VALUE}[A-Za-z0-9+/_.=!@#$%^&*-]{{6,}}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{{0,200}}[0-9])(?=[A-Za-z0-9+/_-]{{0,200}}[A-Z])(?=[A-Za-z0-9+/_-]{{0,200}}[a-z])[A-Za-z0-9+/_-]{{28,200}}={{0,2}}(?![A-Za-z0-9+/_=-])"
+WEAK_SECRET = rf"(?i:client_?secret|secret_?(?:access_?)?key|private_?key|passphrase|pass|pwd|auth){_VALUE}[A-Za-z0-9+/_.=!@#$%^&*-]{{6,}}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{{28,}}={{0,2}}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = rf"""(?i:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]+)://[^\x00-\x20"'<>]{{3,}}|(?i:host(?:_?name)?|endpoint|server|base_?url){_VALUE}[A-Za-z0-9][A-Za-z0-9.:/_-]{{2,}}"""
+FIELD_END = r"[\n,;{}&|]"
 SCOPE_END = r"\n[\x20\t\r]*\n"
 
 _SPAN = "array<struct<start:int,end:int,long:int>>"
@@ -78,17 +80,20 @@ def find_secrets(documents: DataFrame, reach: int = REACH, id_col: str = "doc_id
     df = _matches(df, "id", WEAK_ID, signed)
     ids = (F.size("id") > 0) | (F.size("access") > 0)
     df = _matches(df, "secret", WEAK_SECRET, ids)
-    both = ids & ((F.size("secret") > 0) | (F.size("assign") > 0))
+    both = ids & ((F.size("secret") > 0) | (F.size("assign") > 0) | (F.size("hex") > 0))
     df = _matches(df, "endpoint", ENDPOINT, both)
     df = _matches(df, "scope", SCOPE_END, both)
 
-    # interval join of the roles: the same number of scope ends before, and a gap of ``reach`` at most
+    # interval join of the roles: the same number of scope ends before, and a field's end between or a gap of ``reach`` at most
     def scope(s: Column) -> Column:
         return F.size(F.filter("scope", lambda e: e["end"] <= s["start"]))
 
     def joined(s: Column, others: str) -> Column:
-        near = lambda o: (o["start"] - s["end"] <= reach) & (s["start"] - o["end"] <= reach) & ~_touches(s, o)
-        return F.exists(others, lambda o: near(o) & (scope(s) == scope(o)))
+        def near(o: Column) -> Column:
+            a, b = F.least(s["end"], o["end"]), F.greatest(s["start"], o["start"])
+            return (b - a <= reach) | F.col("_text").substr(a + 1, b - a).rlike(FIELD_END)
+
+        return F.exists(others, lambda o: ~_touches(s, o) & (scope(s) == scope(o)) & near(o))
 
     def clear(s: Column) -> Column:
         return ~F.exists("_base", lambda b: _touches(s, b))
@@ -96,7 +101,7 @@ def find_secrets(documents: DataFrame, reach: int = REACH, id_col: str = "doc_id
     none = F.array().cast(_SPAN)
     df = df.withColumn("_base", F.concat("assign", "access", "hex"))
     weak = lambda name, test: F.when(both, F.filter(name, test)).otherwise(none)
-    df = df.withColumn("_ids", F.concat("id", "access")).withColumn("_secrets", F.concat("secret", "assign"))
+    df = df.withColumn("_ids", F.concat("id", "access")).withColumn("_secrets", F.concat("secret", "assign", "hex"))
     df = df.withColumn("id", weak("id", lambda s: clear(s) & joined(s, "_secrets")))
     df = df.withColumn("secret", weak("secret", lambda s: clear(s) & joined(s, "_ids")))
     df = df.withColumn("endpoint", weak("endpoint", lambda s: clear(s) & joined(s, "_ids") & joined(s, "_secrets")))

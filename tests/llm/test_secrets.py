@@ -70,3 +70,11 @@ def test_parts_are_reported_only_together(spark):
 
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_distant_fields_long_tokens_and_hex_link(spark):
+    filler, token = '"note": "' + "x " * 400 + '",', "aB3" * 100
+    texts = ['{"user": "maria", ' + filler + ' "pwd": "hunter2x"}', "user: maria\n" + "x " * 400 + "\npwd: hunter2x", "user: maria " + token, "client_id=app " + "0123456789abcdef" * 2]
+    got = {g.doc_id: g.spans for g in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    weak = [[s.kind for s in got[i] if s.weak] for i in range(4)]
+    assert weak == [["id", "secret"], ["id", "secret"], ["id", "secret"], ["id"]]
