@@ -20,6 +20,7 @@ row; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +55,13 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         letters = max(1, size - n + 1)
         again = line in seen
         seen.add(line)
-        different = set(words)
+        different = Counter(words)
         symbols = size - len(line.translate(None, _SYMBOLS))
-        repeated = max(map(words.count, list(different)[:3])) / n if len(different) < 0.5 * n and len(different) < 20 else 1.0 / n
+        repeated = max(different.values()) / n
         rows.append((
             math.log1p(n), min(20.0, letters / n) / 10, (size - len(line.translate(None, _UPPER))) / letters, min(1.0, 4 * symbols / letters),
             min(1.0, 2 * line.count(b"|") / n), min(1.0, line.count(b"!") / n), (size - len(line.translate(None, _DIGITS))) / letters, len(different) / n, float(again),
-            float(words[-1][-1:] in b".!?"), float(n == 1), 0.0, sum(len(w) < 4 for w in words) / n if n < 400 else sum(len(w) < 4 for w in words[::7]) / len(words[::7]),
+            float(words[-1][-1:] in b".!?"), float(n == 1), 0.0, sum(len(w) < 4 for w in words) / n,
             repeated, float(max(map(len, words)) > 40), min(1.0, line.count(b",") / n * 4),
         ))
     return np.array(rows, np.float64), np.array(lengths, np.float64)

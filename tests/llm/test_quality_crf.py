@@ -85,3 +85,10 @@ def test_lines_far_into_a_text_are_learnt(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
     got = q.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
     assert all(g.predicted == g.doc_id % 2 for g in got)
+
+
+def test_line_features_cover_all_words():
+    line = " ".join(["of"] + ["elephant"] * 6) + " "
+    own = q.line_features(line * 100 + " ".join(f"word{i}" for i in range(100)))[0][0]
+    assert abs(own[q.OWN.index("short_words")] - 100 / 800) < 1e-12
+    assert abs(own[q.OWN.index("top_word")] - 600 / 800) < 1e-12
