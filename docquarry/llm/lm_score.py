@@ -9,11 +9,15 @@ T is the smoothed log-frequency of each class after each subword and
 p(. | class) the smoothed share in the class, both counted over every training
 text; classes are clusters of subwords that follow alike subwords. o is the
 output of one causal attention head with distance bias over the window. Its
-embeddings and projections and U are trained in numpy by Adam, on executors:
-each task trains on every window of its own training texts, and the weights
-are averaged by window counts (in ``ROUNDS`` rounds). So what is
-gathered grows with the corpus, while what comes to the driver is one table of
-counts and one set of weights.
+embeddings and projections and U are trained in numpy by Adam, on executors.
+Training texts are dealt into shards by a hash of id and text, and shards into
+``ROUNDS`` rounds, so each window is trained on once. Each shard of a round
+starts from the same weights and goes through its texts in order of a hash;
+then the shards' changes are averaged, a subword's embedding by how often each
+shard met it and the rest by windows, and the next round starts there. Their
+number follows from the count of subwords, so the weights do not depend on how
+the input is split. What is gathered grows with the corpus, while what comes to
+the driver is one table of counts and one set of weights.
 
 A text is scored in windows of ``WINDOW`` positions that overlap by
 ``CONTEXT``; each scores what stands after its first ``CONTEXT`` positions, so
@@ -56,9 +60,12 @@ WINDOW, CONTEXT = 32, 8
 STRIDE = WINDOW - CONTEXT
 WIDTH, KEY = 16, 8
 SLOPE = 0.15
-#: Times that every window is trained on.
-ROUNDS = 1
+#: Parts of the shards that are trained on one after the other.
+ROUNDS = 4
+#: Subwords of a shard; shards grow where a round would have more than MOST_SHARDS.
+SHARD, MOST_SHARDS = 1 << 21, 1 << 14
 BATCH, RATE = 64, 0.01
+FAN = 16  # partial sums of a block
 BLOCK = 1 << 16
 TALLY = 1_000_000
 FEW = 64  # texts whose words are looked up together; more would leave the processor's cache
@@ -181,40 +188,49 @@ def distance_bias() -> np.ndarray:
     return np.where(gap < 0, -1e9, -SLOPE * gap).astype(np.float32)
 
 
+DECAY = np.exp(distance_bias())
+
+
 def train_step(w: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, seen: np.ndarray) -> tuple[float, dict, np.ndarray]:
     """(loss, gradients, rows) for windows of ids x, next classes y and the mask of real targets.
 
     The gradient of "e" is that of the given rows only.
     """
-    rows, at = np.unique(x, return_inverse=True)
-    e = w["e"][x]
-    late = e[:, CONTEXT:]
-    q, k, v = late @ w["q"], e @ w["k"], e @ w["v"]
-    scale = np.float32(1 / math.sqrt(KEY))
-    s = q @ k.transpose(0, 2, 1) * scale + distance_bias()
-    p = np.exp(s - s.max(2, keepdims=True))
-    p /= p.sum(2, keepdims=True)
-    o = p @ v
-    z = table[x[:, CONTEXT:]] + o @ w["u"]
-    z -= z.max(2, keepdims=True)
-    ez = np.exp(z)
-    prob = ez / ez.sum(2, keepdims=True)
-    n = max(1.0, float(seen.sum()))
-    picked = np.take_along_axis(prob, y[:, :, None], 2)
-    loss = -float((np.log(picked[:, :, 0] + 1e-30) * seen).sum()) / n
-    dz = prob
-    np.put_along_axis(dz, y[:, :, None], picked - 1, 2)
-    dz *= (seen / n)[:, :, None].astype(dz.dtype)
-    do = dz @ w["u"].T
-    dp = do @ v.transpose(0, 2, 1)
-    ds = p * (dp - (dp * p).sum(2, keepdims=True)) * scale
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ do
+    kind, ids = w["e"].dtype, x.ravel()
+    order = np.argsort(ids, kind="stable")
+    ordered = ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    each = dk @ w["k"].T + dv @ w["v"].T
-    each[:, CONTEXT:] += dq @ w["q"].T
-    de = np.zeros((len(rows), WIDTH), each.dtype)
-    np.add.at(de, at.ravel(), flat(each))
-    return loss, {"e": de, "q": flat(late).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "u": flat(o).T @ flat(dz)}, rows
+    shaped = lambda a, steps: a.reshape(len(x), steps, -1)
+    e = w["e"].take(ids, 0, mode="clip")
+    late = flat(shaped(e, WINDOW)[:, CONTEXT:])
+    wq, wkv = w["q"] * kind.type(1 / math.sqrt(KEY)), np.hstack([w["k"], w["v"]])
+    q, kv = shaped(late @ wq, STRIDE), shaped(e @ wkv, WINDOW)
+    k, v = kv[:, :, :KEY], kv[:, :, KEY:]
+    p = q @ k.transpose(0, 2, 1)
+    np.clip(p, -30, 30, out=p)
+    np.exp(p, out=p)
+    p *= DECAY  # distance bias and causal mask at once
+    p /= (p @ np.ones(WINDOW, kind))[:, :, None]
+    o = flat(p @ v)
+    z = table.take(x[:, CONTEXT:].ravel(), 0, mode="clip")
+    z += o @ w["u"]
+    np.exp(z, out=z)
+    mass = seen.ravel() / kind.type(max(1, seen.sum()))
+    at, total = (np.arange(len(z)), y.ravel()), z @ np.ones(CLASSES, kind)
+    loss = -float(np.log(z[at] / total) @ mass)
+    z *= (mass / total)[:, None]
+    z[at] -= mass  # z is now the gradient of the scores
+    do = shaped(z @ w["u"].T, STRIDE)
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= shaped(np.einsum("ij,ij->i", o, flat(do)), STRIDE)
+    ds *= p
+    dq, dkv = flat(ds @ k), flat(np.concatenate([ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ do], 2))
+    each = shaped(dkv @ wkv.T, WINDOW)
+    each[:, CONTEXT:] += shaped(dq @ wq.T, STRIDE)
+    de = np.add.reduceat(flat(each).take(order, 0), starts, 0)
+    gkv = e.T @ dkv
+    return loss, {"e": de, "q": late.T @ dq * kind.type(1 / math.sqrt(KEY)), "k": gkv[:, :KEY], "v": gkv[:, KEY:], "u": o.T @ z}, ordered[starts]
 
 
 def windows_in(n: int) -> int:
@@ -241,7 +257,6 @@ class Model:
         # keys, values and a one side by side: one look-up a position, and the attention's norm comes with its output
         self.kv = np.hstack([e @ weights["k"], e @ weights["v"], np.ones((VOCAB, 1), np.float32)])
         self.u, self.table, self.share, self.classes = weights["u"], table, share, classes
-        self.decay = np.exp(distance_bias()).astype(np.float32)
         self.ones = np.ones(CLASSES, np.float32)
 
     def window_scores(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -251,7 +266,7 @@ class Model:
         s = self.q.take(late, 0, mode="clip").reshape(len(x), STRIDE, KEY) @ kv[:, :, :KEY].transpose(0, 2, 1)
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
-        s *= self.decay  # distance bias and causal mask at once
+        s *= DECAY
         o = (s @ kv[:, :, KEY:]).reshape(-1, WIDTH + 1)
         z = self.table.take(late, 0, mode="clip")
         z += (o[:, :WIDTH] / o[:, WIDTH:]) @ self.u
@@ -302,18 +317,28 @@ def _blocks(values: np.ndarray):
 
 
 def _add_up(rows: DataFrame, size: int, kind) -> np.ndarray:
-    """Sum of all tasks' blocks; each block is added up in a stream, and the driver gets one table of ``size`` numbers."""
+    """Sum of the blocks in rows of (block, part, packed), whatever their number, in order of ``part``.
+
+    Each block is added up in ``FAN`` streams, then these; the driver gets one table of ``size`` numbers.
+    """
     wide = np.float64 if kind == np.float32 else np.int64
+    schema, names = "block int, part long, packed binary", ["block", "part", "packed"]
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(b), kind).astype(wide)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["block", "packed"])
+    def adder(own, fan):
+        def add(batches):
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for i, part, b in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    key = i, part % fan
+                    total[key] = total.get(key, 0) + np.frombuffer(zlib.decompress(b), own).astype(wide)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in total], pa.int32()), pa.array([p for _, p in total], pa.int64()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=names)
 
+        return add
+
+    dealt = rows.select("block", "part", "packed").repartition("block", F.pmod("part", F.lit(FAN))).sortWithinPartitions("block", "part")
+    dealt = dealt.mapInArrow(adder(kind, FAN), schema).repartition("block").sortWithinPartitions("block", "part").mapInArrow(adder(wide, 1), schema)
     out = np.zeros(size, wide)
-    for r in rows.select("block", "packed").repartition("block").mapInArrow(add, "block int, packed binary").toLocalIterator():
+    for r in dealt.toLocalIterator():
         got = np.frombuffer(zlib.decompress(r.packed), wide)
         out[r.block * BLOCK : r.block * BLOCK + len(got)] = got
     return out
@@ -360,7 +385,7 @@ def _read(documents: DataFrame, paths) -> DataFrame:
     names = ["doc_id", "held_out", "text", "ids", "word", "n", "block", "packed"]
     schema = "doc_id long, held_out boolean, text string, ids binary, word long, n long, block int, packed binary"
     made = documents.mapInArrow(scan, schema).withColumn("rid", F.monotonically_increasing_id())
-    return common.cut(made, "read")  # written, so the row numbers stay
+    return common.cut(made, "read", "zstd")  # written, so the row numbers stay
 
 
 def _count_pairs(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
@@ -379,67 +404,96 @@ def _count_pairs(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
         blocks = list(_blocks(total))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=["block", "packed"])
 
-    rows = texts.filter("not held_out").select("ids").mapInArrow(scan, "block int, packed binary")
+    rows = texts.filter("not held_out").select("ids").mapInArrow(scan, "block int, packed binary").withColumn("part", F.spark_partition_id().cast("long"))
     total = _add_up(rows, VOCAB * (CLASSES + 1), np.int32).reshape(VOCAB, CLASSES + 1)
     cls.destroy()
     return total
 
 
-def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np.ndarray) -> dict:
-    """Each task trains on all its windows; weights are averaged by windows."""
+NAMES = ("e", "q", "k", "v", "u")
+
+
+class Trainer:
+    """Adam over the windows of one shard, from given weights."""
+
+    def __init__(self, weights: dict, classes: np.ndarray, table: np.ndarray):
+        self.start, self.classes, self.table = weights, classes, table
+        self.w = {n: a.copy() for n, a in weights.items()}
+        self.m, self.v = ({n: np.zeros_like(a) for n, a in weights.items()} for _ in range(2))
+        self.met, self.done, self.windows, self.pool, self.waiting = np.zeros(VOCAB, np.float32), 0, 0, [], 0
+
+    def add(self, ids: np.ndarray) -> None:
+        """Full steps only; what is left waits for the next text."""
+        self.pool.append(padded(ids))
+        self.waiting += len(self.pool[-1][0])
+        self.windows += len(self.pool[-1][0])
+        if self.waiting >= BATCH:
+            x, y, seen = (np.concatenate([c[i] for c in self.pool]) for i in range(3))
+            full = self.waiting - self.waiting % BATCH
+            for i in range(0, full, BATCH):
+                self._learn(x[i : i + BATCH], y[i : i + BATCH], seen[i : i + BATCH])
+            self.pool, self.waiting = [(x[full:], y[full:], seen[full:])], self.waiting - full
+
+    def _learn(self, x, y, seen) -> None:
+        _, g, rows = train_step(self.w, self.table, x, self.classes[y], seen)
+        self.done += 1
+        self.met[rows] += 1
+        for n in NAMES:  # a row of "e" counts the steps that met it
+            at, k = (rows, self.met[rows][:, None]) if n == "e" else (slice(None), np.float32(self.done))
+            self.m[n][at] = m = 0.9 * self.m[n][at] + 0.1 * g[n]
+            self.v[n][at] = v = 0.99 * self.v[n][at] + 0.01 * g[n] * g[n]
+            self.w[n][at] -= (RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
+
+    def changes(self) -> np.ndarray:
+        """Changes of "e" times the steps that met a row, of the rest times windows; then these counts."""
+        if self.waiting:
+            self._learn(*(np.concatenate([c[i] for c in self.pool]) for i in range(3)))
+            self.pool, self.waiting = [], 0
+        by = {n: self.met[:, None] if n == "e" else np.float32(self.windows) for n in NAMES}
+        return np.concatenate([((self.w[n] - self.start[n]) * by[n]).ravel() for n in NAMES] + [self.met, np.float32([self.windows])])
+
+
+def _averaged(weights: dict, total: np.ndarray) -> dict:
+    """The weights moved by the mean of the changes that ``total`` sums up."""
+    out, at = {}, 0
+    met, windows = np.maximum(total[-VOCAB - 1 : -1], 1)[:, None], max(1.0, total[-1])
+    for n in NAMES:
+        change = total[at : at + weights[n].size].reshape(weights[n].shape)
+        out[n] = (weights[n] + change / (met if n == "e" else windows)).astype(np.float32)
+        at += weights[n].size
+    return out
+
+
+def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np.ndarray, shards: int, part: int, parts: int) -> dict:
+    """The weights after the ``shards`` shards of part ``part`` of the training texts."""
     sent = texts.sparkSession.sparkContext.broadcast((weights, classes, table))
-    names = ("e", "q", "k", "v", "u")
 
     def scan(batches):
-        w0, cls, t = sent.value
-        w = {n: a.copy() for n, a in w0.items()}
-        m, v = ({n: np.zeros_like(a) for n, a in w.items()} for _ in range(2))
-        steps, windows, pool = np.zeros(VOCAB), 0, []
-        done = 0
-
-        def adam(n, g, rows, k):
-            """Adam on the given rows; a row of "e" counts the steps that touched it."""
-            m[n][rows] += 0.1 * (g - m[n][rows])
-            v[n][rows] += 0.01 * (g * g - v[n][rows])
-            w[n][rows] -= (RATE * (m[n][rows] / (1 - 0.9**k)) / (np.sqrt(v[n][rows] / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
-
-        def learn(x, y, seen):
-            nonlocal done
-            _, g, rows = train_step(w, t, x, cls[y], seen)
-            done += 1
-            steps[rows] += 1
-            for n in names:
-                adam(n, g[n], rows if n == "e" else slice(None), steps[rows][:, None] if n == "e" else done)
-
-        waiting = 0
+        start, shard, trainer = sent.value, None, None
+
+        def ended():
+            blocks = list(_blocks(trainer.changes()))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([shard] * len(blocks), pa.int64()), pa.array([p for _, p in blocks], pa.binary())], names=["block", "part", "packed"])
+
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                pool.append(padded(np.frombuffer(raw, np.uint16)))
-                waiting += len(pool[-1][0])
-                windows += len(pool[-1][0])
-                if waiting >= BATCH:  # full steps only; the rest waits for the next text
-                    x, y, seen = (np.concatenate([c[i] for c in pool]) for i in range(3))
-                    full = waiting - waiting % BATCH
-                    for i in range(0, full, BATCH):
-                        learn(x[i : i + BATCH], y[i : i + BATCH], seen[i : i + BATCH])
-                    pool, waiting = [(x[full:], y[full:], seen[full:])], waiting - full
-        if waiting:
-            learn(*(np.concatenate([c[i] for c in pool]) for i in range(3)))
-        if windows:
-            flat = np.concatenate([w[n].ravel() for n in names] + [np.ones(1, np.float32)]) * np.float32(windows)
-            blocks = list(_blocks(flat.astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=["block", "packed"])
-
-    size = sum(weights[n].size for n in names) + 1
-    total = _add_up(texts.filter("not held_out").select("ids").mapInArrow(scan, "block int, packed binary"), size, np.float32)
+            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own != shard:
+                    if trainer:
+                        yield ended()
+                    shard, trainer = own, Trainer(*start)
+                trainer.add(np.frombuffer(raw, np.uint16))
+        if trainer:
+            yield ended()
+
+    # equal rows are alike in place of each other; rows without id have nothing but their number to deal them by
+    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("rid")), "ids")
+    dealt = texts.filter("not held_out").select("doc_id", "ids", key.alias("_key")).filter(F.pmod("_key", F.lit(parts)) == part)
+    dealt = dealt.withColumn("_shard", F.pmod(F.shiftright("_key", 20), F.lit(shards)))
+    dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_key", "doc_id").select("_shard", "ids")
+    size = sum(weights[n].size for n in NAMES) + VOCAB + 1
+    total = _add_up(dealt.mapInArrow(scan, "block int, part long, packed binary"), size, np.float32)
     sent.destroy()
-    if not total[-1]:
-        return weights
-    out, at = {}, 0
-    for n in names:
-        out[n] = (total[at : at + weights[n].size] / total[-1]).reshape(weights[n].shape).astype(np.float32)
-        at += weights[n].size
-    return out
+    return _averaged(weights, total)
 
 
 def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -472,11 +526,12 @@ def score_documents(documents: DataFrame, head: int = HEAD, rounds: int = ROUNDS
     z = total + 0.5 * (distinct + 1)
     hashes, numbers = _head(counts, head)
 
-    classes = make_classes(_add_up(read.filter("block is not null"), VOCAB * BUCKETS, np.int32).reshape(VOCAB, BUCKETS))
+    follows = _add_up(read.filter("block is not null").withColumn("part", F.spark_partition_id().cast("long")), VOCAB * BUCKETS, np.int32).reshape(VOCAB, BUCKETS)
+    classes = make_classes(follows)
     table, share = make_tables(_count_pairs(texts, classes), classes)
-    weights = fresh_weights()
-    for _ in range(rounds):
-        weights = _train_round(texts, weights, classes, table)
+    weights, shards = fresh_weights(), min(MOST_SHARDS, 1 + int(follows.sum()) // (max(1, rounds) * SHARD))
+    for part in range(rounds):
+        weights = _train_round(texts, weights, classes, table, shards, part, rounds)
 
     sent = spark.sparkContext.broadcast((weights, classes, table, share, hashes, numbers))
 
