@@ -127,13 +127,13 @@ def pack(pieces: DataFrame, length: int = LENGTH, buckets: int = BUCKETS) -> Dat
     (``common.cut``), as it is read twice.
     """
     spark = pieces.sparkSession
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    ties = [c for c in ("ids_crc32",) if c in pieces.columns]  # parts the pieces of rows without id
+    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", *ties), F.lit(buckets)).cast("int"))
     sizes = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     sizes = common.cut(sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")), "sizes")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(slots(pack_histogram(counts, length)))
 
-    ties = [c for c in ("ids_crc32",) if c in pieces.columns]
     local = F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("doc_id", "start", *ties)) - 1
     ranked = bucketed.withColumn("_local", local).join(sizes.drop("_n"), ["length", "_bucket"]).withColumn("_rank", F.col("_local") + F.col("_before"))
     names = pieces.columns

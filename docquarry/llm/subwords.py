@@ -3,12 +3,14 @@
 ``tiktoken`` reads the same vocabulary as ranks and makes the same merges. The
 two libraries carry their own Unicode tables for the pattern that splits words,
 so a text with characters beyond U+052F, or one on which the fast path fails,
-goes through ``tokenizers`` itself.
+goes through ``tokenizers`` itself, as does a text that holds an added token
+of the vocabulary ("<|endoftext|>"): the library gives it that token's one id.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -38,6 +40,8 @@ class Subwords:
         self.whole, self._exact = whole, None
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(whole, encoding="utf-8") as described:
+            self.added = [t["content"] for t in json.load(described)["added_tokens"]]
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     @property
@@ -47,12 +51,12 @@ class Subwords:
             from tokenizers import Tokenizer
 
             self._exact = Tokenizer.from_file(self.whole)
-            self._exact.encode_special_tokens = True
         return self._exact
 
-    @staticmethod
-    def plain(text: str) -> bool:
-        """Without late characters, and without a blank so long that the pattern of the fast path may give up on it."""
+    def plain(self, text: str) -> bool:
+        """Without added tokens and late characters, and without a blank so long that the pattern of the fast path may give up on it."""
+        if any(t in text for t in self.added):
+            return False
         if not text.isascii():
             try:
                 text.encode("latin-1")

@@ -12,16 +12,16 @@ TEXTS = ["", None, "a", "The the  three\n\n words \t\n here.", "x" * 3000, "Çé
 
 
 def exact():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_are_those_of_tokenizers():
     t, mine, r = exact(), subwords.shared(), random.Random(3)
     made = ["".join(r.choice(" \n\tabTHEé,.!%1'\xa0\x1c漢") for _ in range(r.randint(0, 60))) for _ in range(500)]
-    for text in [x for x in TEXTS if x] + made:
+    added = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "a <|endoftext| > <|endoftext|", "<|ENDOFTEXT|>"]
+    for text in [x for x in TEXTS if x] + made + added:
         assert mine.encode(text) == t.encode(text, add_special_tokens=False).ids
+    assert len(mine.encode(added[0])) == 4
 
 
 def test_ids_of_test_documents(spark):
