@@ -2,7 +2,9 @@
 
 A text that zstandard shrinks too far is repetitive, one that it can hardly
 shrink is noise. Short texts compress worse than long ones, so the limits go by
-length. The whole text and its fixed chunks are both held against their bands.
+length. The whole text and its fixed chunks are both held against their bands;
+the last chunk, what is left after the full ones, against the band of a whole
+text of its length.
 
 Cases: a null text counts as empty; an empty text has no words and ratio null,
 and fails the base rule; extra columns of the input are ignored; each input row
@@ -29,7 +31,7 @@ WHOLE_BANDS = (
     (1 << 62, 0.20, 0.75),
 )
 CHUNK_BYTES = 4096
-#: Lowest and highest ratio of a full chunk, and the part of a text's chunks that may lie outside.
+#: Lowest and highest ratio of a full chunk, and the part of a text's bytes that may lie in chunks outside their band.
 CHUNK_BAND = (0.25, 0.85)
 CHUNK_PART = 0.5
 MIN_WORDS = 50
@@ -83,17 +85,23 @@ def band(n_bytes: int) -> tuple[float, float]:
 
 
 def compression_verdict(raw: bytes, compressor) -> tuple[float | None, int, int, str | None]:
-    """Whole ratio, full chunks, full chunks outside the chunk band, reason to reject."""
+    """Whole ratio, chunks, chunks outside their band, reason to reject."""
     if not raw:
         return None, 0, 0, None
     ratio = len(compressor.compress(raw)) / len(raw)
     low, high = band(len(raw))
-    chunks = [len(compressor.compress(raw[i : i + CHUNK_BYTES])) / CHUNK_BYTES for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    outside = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks)
     reason = "repetitive" if ratio < low else "incompressible" if ratio > high else None
-    if reason is None and outside > CHUNK_PART * len(chunks):
+    if len(raw) < CHUNK_BYTES:  # one chunk, the text itself
+        return ratio, 1, int(reason is not None), reason
+    outside = []
+    for i in range(0, len(raw), CHUNK_BYTES):
+        chunk = raw[i : i + CHUNK_BYTES]
+        least, most = CHUNK_BAND if len(chunk) == CHUNK_BYTES else band(len(chunk))
+        if not least <= len(compressor.compress(chunk)) / len(chunk) <= most:
+            outside.append(len(chunk))
+    if reason is None and sum(outside) > CHUNK_PART * len(raw):
         reason = "chunks"
-    return ratio, len(chunks), outside, reason
+    return ratio, -(-len(raw) // CHUNK_BYTES), len(outside), reason
 
 
 def _judge(batches):

@@ -56,6 +56,19 @@ def test_chunks_are_judged_too():
     assert qr.compression_verdict(b"ab" * 5 * qr.CHUNK_BYTES + noise * 0 + prose, z)[3]
 
 
+def test_the_last_chunk_is_judged():
+    z = zstandard.ZstdCompressor(level=qr.LEVEL)
+    r = random.Random(4)
+    prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(6)) for _ in range(3000)).encode()
+    noise = bytes(r.randrange(256) for _ in range(qr.CHUNK_BYTES - 1))
+    assert qr.compression_verdict(prose[: qr.CHUNK_BYTES] + prose[5000:7000], z)[1:] == (2, 0, None)
+    assert qr.compression_verdict(prose[: qr.CHUNK_BYTES] + noise, z)[1:3] == (2, 1)
+    assert qr.compression_verdict(prose[: qr.CHUNK_BYTES] + b"a" * 3000, z)[1:3] == (2, 1)
+    assert qr.compression_verdict(noise * 2 + prose[:4000], z)[3]
+    assert qr.compression_verdict(prose[:900], z)[1:] == (1, 0, None)
+    assert qr.compression_verdict(noise[:900], z)[1:] == (1, 1, "incompressible")
+
+
 def test_clean_documents_stay(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
