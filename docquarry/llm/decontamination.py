@@ -11,7 +11,8 @@ shift the tokens are compared, and the overlap counts if some window of
 ``window`` tokens agrees in at least ``similarity`` of them.
 
 Only the benchmark side of the joins is broadcast, after its rows are counted;
-beyond ``BROADCAST_ROWS`` the joins shuffle on the seed and on the document.
+beyond ``BROADCAST_ROWS`` the joins shuffle, on the salted seed and on the
+document. A row's work is linear in its text and in the item tokens compared.
 
 Cases: null texts match nothing; an item of fewer than ``window`` tokens must
 agree in its whole length by ``similarity``; items of fewer than ``shortest``
@@ -36,6 +37,8 @@ SPAN = 9
 WINDOW = 13
 SIMILARITY = 0.8
 BROADCAST_ROWS = 2_000_000
+SALTS = 16
+GATHERED = 4096
 
 
 def tokens(text: Column) -> Column:
@@ -94,28 +97,52 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         seeds = seeds.unionByName(_short_seeds(met, "doc_id", None, widths))
     wanted = common.cut(wanted.withColumnRenamed("at", "item_at"), "seeds")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = seeds.join(F.broadcast(wanted) if few else wanted, "seed")
-    hits = common.cut(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
-
-    # the text is read again for the documents with hits only
-    few_hits = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(hits) if few_hits else hits, "doc_id").select("doc_id", "item_id", "shift", tokens(F.col("_text")).alias("d"))
-    found = found.join(F.broadcast(items) if few else items, "item_id")
-    width = F.least(F.lit(window), F.size("t"))
-    agree = F.transform("t", lambda token, i: F.when(F.col("shift") + i >= 0, (F.get("d", F.col("shift") + i) == token).cast("int")).otherwise(0))
-    found = found.select("doc_id", "item_id", F.size("t").alias("item_tokens"), width.alias("_w"), F.transform(agree, lambda x: F.coalesce(x, F.lit(0))).alias("_agree"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    windows = F.transform(F.sequence(F.lit(1), F.size("_agree") - F.col("_w") + 1), lambda i: total(F.slice("_agree", i, F.col("_w"))))
-    needed = F.ceil(F.col("_w") * F.lit(math.nextafter(similarity, 0)))
-    found = found.select("doc_id", "item_id", "item_tokens", needed.alias("_needed"), total(F.col("_agree")).alias("_all"), F.array_max(windows).alias("_best"))
-    # The filter stays above the aggregate for the same reason as in _seeds.
-    good = F.col("_best") >= F.col("_needed")
+    if few:
+        hits = seeds.join(F.broadcast(wanted), "seed")
+    else:  # a common seed is dealt over SALTS tasks
+        salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = seeds.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "_salt"])
+    hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+
+    # the shifts of a document are gathered, so that its text, read again, is tokenised once for GATHERED items
+    pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts"))
+    pairs = common.cut(pairs.join(F.broadcast(items) if few else items, "item_id"), "pairs")
+    held = pairs.agg(F.coalesce(F.sum(F.size("t") + F.size("shifts")), F.lit(0))).first()[0]
+    lists = pairs.groupBy("doc_id", F.pmod(F.xxhash64("item_id"), F.lit(1 + items.count() // GATHERED)).alias("_part")).agg(F.collect_list(F.struct("item_id", "t", "shifts")).alias("_items"))
+    lists = lists.drop("_part")
+    found = docs.join(F.broadcast(lists) if held <= BROADCAST_ROWS else lists, "doc_id").select("doc_id", verified(tokens(F.col("_text")), F.col("_items"), window, similarity).alias("_found"))
+    found = found.select("doc_id", F.explode_outer("_found").alias("f")).select("doc_id", "f.*")
     found = found.groupBy("doc_id", "item_id").agg(
-        F.count_if(good).alias("n_shifts"), F.max(F.when(good, F.col("_all"))).alias("best_agreeing"), F.max("item_tokens").alias("item_tokens"), F.max("_best").alias("longest_agreeing")
-    )
+        F.size(F.array_distinct(F.flatten(F.collect_list("good.shift")))).cast("long").alias("n_shifts"),
+        F.max(F.array_max("good.agreeing")).alias("best_agreeing"), F.max("item_tokens").alias("item_tokens"), F.max(F.array_max("good.longest")).alias("longest_agreeing"),
+    )
     return found.filter("n_shifts > 0")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def verified(text: Column, items: Column, window: int, similarity: float) -> Column:
+    """[(item_id, item_tokens, good: [(shift, agreeing, longest)])] of the text's tokens against items (item_id, t, shifts); the work is linear in the items' tokens."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def one(d: Column, item: Column) -> Column:
+        width = F.least(F.lit(window), F.size(item["t"]))
+        needed = F.ceil(width * F.lit(math.nextafter(similarity, 0)))
+
+        def compared(shift: Column) -> Column:
+            agree = F.transform(item["t"], lambda token, i: F.coalesce(F.when(shift + i >= 0, (F.get(d, shift + i) == token).cast("int")), F.lit(0)))
+            most = lambda a: F.array_max(F.transform(F.sequence(F.lit(1), F.size(a) - width + 1), lambda i: total(F.slice(a, i, width))))
+            return let(agree, lambda a: F.struct(shift.alias("shift"), total(a).alias("agreeing"), most(a).alias("longest")))
+
+        good = F.filter(F.transform(item["shifts"], compared), lambda x: x["longest"] >= needed)
+        return F.struct(item["item_id"].alias("item_id"), F.size(item["t"]).alias("item_tokens"), good.alias("good"))
+
+    return let(text, lambda d: F.transform(items, lambda item: one(d, item)))
+
+
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The input rows, unchanged, without the documents that overlap with an item."""
     gone = common.cut(find_overlaps(documents, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
