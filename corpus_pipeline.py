@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines; a text with no word left goes."""
     after = line_dedup.dedup_lines(docs)
-    touched = F.size("_lines_removed") > 0
+    touched = F.size(line_dedup.removed_column(docs)) > 0
     after = after.filter(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return after.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 

@@ -18,6 +18,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A-Z only; other letters stay as they are.
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
+#: Rows from which a join key is hot, hot keys that may be broadcast, and copies of a key beyond.
+HOT, HOT_KEYS, SALTS = 1000, 200_000, 16
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -92,6 +95,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_back(rows: DataFrame, keys: DataFrame, key: str, most: int = HOT, keys_at_once: int = HOT_KEYS) -> DataFrame:
+    """Inner join of rows with the table of keys, one row a key, that counts a key's rows in ``n`` (dropped).
+
+    Keys of more than ``most`` rows are broadcast if they are few; if not, every
+    key is copied ``SALTS`` times and rows are dealt by key and salt. Both sides
+    should start from files, as they are read twice.
+    """
+    hot = keys.filter(F.col("n") > most)
+    found = hot.limit(keys_at_once + 1).count()
+    if found > keys_at_once:
+        salted = keys.drop("n").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+    if not found:
+        return rows.join(keys.drop("n"), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keys.filter(F.col("n") <= most).drop("n"), key)
+    return rows.join(F.broadcast(hot.drop("n")), key).unionByName(cold)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the tables that ``cut`` has written for this application; results read from them must be stored before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docquarry-{spark.sparkContext.applicationId}")

@@ -1,164 +1,237 @@
 """Line deduplication by winnowing over line hashes.
 
-A gram is the shortest run of whole lines from a given line on that holds at
-least ``GRAM_WORDS`` words; a long line is a gram by itself. In each window of
-lines that holds ``RUN_WORDS`` words, the gram with the least hash among those
-that lie whole inside it becomes a fingerprint. Windows hang on the lines
-alone, so two documents that share a run of ``RUN_WORDS`` words or more in
-whole lines select the same fingerprint in it.
-
-Every occurrence of a fingerprint is held against its first one only, in order
-of document and line: no pairs are made among the copies. Occurrences under
-the same shift between two documents are extended line by line both ways as one
-match, and the later side is deleted. What is deleted always has an equal
-earlier copy, so of each line at least one copy stays.
-
-Lines are compared without leading and trailing ASCII white space. A repeat
+A text is a sequence of lines, lines with several sentences being cut after
+sentence ends (``.``, ``!`` or ``?`` and a space), so a passage inside a longer
+line counts too. Pieces without a word only separate, and go with the one before them.
+
+A gram is the shortest run of pieces from a given one on that holds at least
+``GRAM_WORDS`` words. In each window, the shortest run of pieces that holds
+``RUN_WORDS`` words, the gram with the least hash among those that lie whole
+inside it becomes a fingerprint. Windows hang on their pieces alone, so two
+documents that share a run of ``RUN_WORDS`` words select the same fingerprint
+in it. Fingerprints that occur once are dropped.
+
+A match is extended both ways around a repeated fingerprint: every shortest run
+of ``RUN_WORDS`` words that holds it, to the left and to the right, is looked up
+by its digest, and is a repeat if it has an earlier occurrence anywhere, in
+order of document and piece. Each longer repeat is the union of such runs, so a
+run is held against all its earlier holders without a pair among the copies: a
+key is counted and its first position joined back. The later runs are deleted.
+What is deleted has an equal earlier copy, so of each piece one copy stays.
+
+Pieces are compared without leading and trailing ASCII white space. A repeat
 inside a document counts when it starts after the first one's end; of a
-periodic run the first period stays.
-
-Cases: null texts count as empty; texts without a repeat, runs below the
-limits and empty lines stay as they are; rows without id come last in the
-order; rows equal in id and text are one document and are treated alike; extra
-columns pass through; an empty table gives no rows.
+periodic run the first ``RUN_WORDS`` words stay.
+
+Cases: null texts count as empty; texts without a repeat and runs below the
+limit stay as they are; a line of which a sentence goes
+keeps its end; rows without id come last in the order; rows equal in id and
+text are one document and are treated alike; extra columns pass through, and
+the added column gets underscores before its name until no other has it; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import re
+from bisect import bisect_left
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import common
 
-GRAM_WORDS = 40
+GRAM_WORDS = 20
 RUN_WORDS = 50
-BROADCAST_DOCS = 500_000
+BROADCAST_RANGES = 1_000_000
 LAST = (1 << 63) - 1
+_CUT = re.compile(rb"(?<=\n)|(?<=[.!?] )")
+HASH = 16
 
 
-def line_hashes(text: str) -> tuple[list[bytes], list[int]]:
-    """(8-byte hash, words) of each line."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_digest
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    return [digest(x.strip()) for x in lines], [len(x.split()) for x in lines]
+def pieces_of(text: str) -> list[bytes]:
+    """Lines and sentences of lines, with what separates them at their end."""
+    return _CUT.split(text.encode("utf-8", "surrogatepass"))
 
 
-def fingerprints(hashes: list[bytes], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int, int]]:
-    """Selected (gram hash, first line, last line), by first line."""
+def worded(text: str) -> tuple[list[int], list[int], list[bytes]]:
+    """(number among all pieces, words, digest) of each piece with a word; the count of pieces stands after the numbers."""
     import xxhash
 
-    n, joined = len(hashes), b"".join(hashes)
-    before = [0]
+    at, words, hashes = [], [], []
+    pieces = pieces_of(text)
+    for i, piece in enumerate(pieces):
+        if n := len(piece.split()):
+            at.append(i)
+            words.append(n)
+            hashes.append(xxhash.xxh3_128_digest(piece.strip()))
+    return [*at, len(pieces)], words, hashes
+
+
+def ends_of(words: list[int], least: int) -> list[int]:
+    """The end of the shortest run from each piece on that holds ``least`` words; only for pieces that have one."""
+    out, end, held = [], 0, 0
     for w in words:
-        before.append(before[-1] + w)
-    if before[-1] < gram_words:
-        return []
-    grams: list[tuple[int, int] | None] = [None] * n  # (hash, last line)
-    end = 0
-    for i in range(n):
-        while end < n and before[end] - before[i] < gram_words:
+        while end < len(words) and held < least:
+            held += words[end]
             end += 1
-        if before[end] - before[i] < gram_words:
+        if held < least:
             break
-        if words[i]:
-            grams[i] = xxhash.xxh3_64_intdigest(joined[8 * i : 8 * end]) - (1 << 63), end - 1
-    chosen, end = set(), 0
-    for i in range(n):
-        while end < n and before[end] - before[i] < run_words:
-            end += 1
-        if not words[i] or before[end] - before[i] < run_words:
-            continue
-        inside = [(grams[s][0], s) for s in range(i, end) if grams[s] and grams[s][1] < end]
-        chosen.add(min(inside)[1])
-    return [(grams[s][0], s, grams[s][1]) for s in sorted(chosen)]
+        out.append(end)
+        held -= w
+    return out
+
+
+def fingerprints(words: list[int], hashes: list[bytes], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int, int]]:
+    """Selected (gram hash, first piece, end) among the pieces with words, by first piece."""
+    import xxhash
+
+    windows = ends_of(words, run_words)
+    if not windows:
+        return []
+    joined, ends = b"".join(hashes), ends_of(words, gram_words)
+    grams = [(xxhash.xxh3_64_intdigest(joined[HASH * i : HASH * end]) - (1 << 63), i) for i, end in enumerate(ends)]
+    chosen, upto = set(), 0
+    for i, end in enumerate(windows):
+        upto = max(upto, i)
+        while upto < len(ends) and ends[upto] <= end:
+            upto += 1
+        chosen.add(min(grams[i:upto])[1])
+    return [(grams[s][0], s, ends[s]) for s in sorted(chosen)]
+
+
+def runs_around(words: list[int], spots: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """The runs [first, end) that hold ``run_words`` words, but none without their first or last piece, and hold a gram that starts at one of the ascending ``spots``."""
+    ends, n = ends_of(words, gram_words), len(words)
+    runs = set(enumerate(ends_of(words, run_words)))
+    runs |= {(n - end, n - i) for i, end in enumerate(ends_of(words[::-1], run_words))}
+    out = []
+    for first, end in sorted(runs):
+        at = bisect_left(spots, first)
+        if at < len(spots) and ends[spots[at]] <= end:
+            out.append((first, end))
+    return out
 
 
 def _scan(gram_words: int, run_words: int):
-    names = ["ord", "h", "lines", "prints"]
-    a_print = pa.struct([("gram", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    """Rows of (ord, h, at, words, hashes) for each text long enough, and of (gram, ord, h, first) for each fingerprint."""
+    names = ["ord", "h", "at", "words", "hashes", "prints"]
+    a_print = pa.struct([("gram", pa.int64()), ("first", pa.int32())])
 
     def scan(batches):
         for batch in batches:
-            lines, prints = [], []
-            for text in batch.column(2).to_pylist():
-                hashes, words = line_hashes(text)
-                got = fingerprints(hashes, words, gram_words, run_words)
-                prints.append([{"gram": g, "first": a, "last": b} for g, a, b in got])
-                lines.append(np.frombuffer(b"".join(hashes), "<i8") if got else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64())), pa.array(prints, pa.list_(a_print))], names=names)
+            out = []
+            for ord_, h, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                at, words, hashes = worded(text)
+                got = fingerprints(words, hashes, gram_words, run_words)
+                if got:
+                    out.append((ord_, h, at, words, b"".join(hashes), [{"gram": g, "first": a} for g, a, _ in got]))
+            if out:
+                types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(a_print)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return scan
 
 
-def _extend(batches):
-    """Grows the matches of one shift between two documents both ways."""
+def _extend(gram_words: int, run_words: int):
+    """(key, ord, h, first, last, start, end) of each run around a repeated fingerprint; start and end count all pieces."""
+
+    def extend(batches):
+        import xxhash
+
+        for batch in batches:
+            out = [[] for _ in range(7)]
+            for ord_, h, at, words, hashes, spots in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ord", "h", "at", "words", "hashes", "spots"))):
+                for first, end in runs_around(words, sorted(spots), gram_words, run_words):
+                    row = xxhash.xxh3_128_digest(hashes[HASH * first : HASH * end]), ord_, h, first, end - 1, at[first], at[end]
+                    for column, value in zip(out, row):
+                        column.append(value)
+            types = [pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["key", "ord", "h", "first", "last", "start", "end"])
+
+    return extend
+
+
+def _merge(batches):
+    """Overlapping and adjacent ranges of a document made one."""
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ord", "h", "shift", "firsts", "own", "source")]
-        out = []
-        for ord_, h, shift, firsts, own, source in zip(*columns):
-            done = 0
-            for first in sorted(firsts):
-                if first < done:
-                    continue
-                a = b = first
-                while a > max(done, shift) and a - 1 - shift < len(source) and own[a - 1] == source[a - 1 - shift]:
-                    a -= 1
-                while b < len(own) and b - shift < len(source) and own[b] == source[b - shift]:
-                    b += 1
-                out.append((ord_, h, a, b))
-                done = b
-        columns = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["ord", "h", "start", "end"])
+        merged = []
+        for ranges in batch.column(2).to_pylist():
+            own = []
+            for r in sorted(ranges, key=lambda r: (r["start"], r["end"])):
+                if own and r["start"] <= own[-1]["end"]:
+                    own[-1]["end"] = max(own[-1]["end"], r["end"])
+                else:
+                    own.append({"start": r["start"], "end": r["end"]})
+            merged.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["ord", "h", "ranges"])
 
 
 def repeated_runs(texts: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(ord, h, ranges): line ranges [start, end) to delete, from rows of (ord, h, text)."""
-    docs = common.cut(texts.mapInArrow(_scan(gram_words, run_words), "ord long, h long, lines array<long>, prints array<struct<gram:long,first:int,last:int>>").filter("size(prints) > 0"), "lines")
-    prints = docs.select("ord", "h", F.explode("prints").alias("p")).select("p.gram", "ord", "h", "p.first", "p.last")
-    first = prints.groupBy("gram").agg(F.min(F.struct("ord", "h", "first", "last")).alias("f"), F.max(F.struct("ord", "h", "first", "last")).alias("l"))
-    first = first.filter("f <> l").select("gram", "f")
-    same = (F.col("ord") == F.col("f.ord")) & (F.col("h") == F.col("f.h"))
-    matches = prints.join(first, "gram").filter(~same | (F.col("first") > F.col("f.last")))
-    matches = matches.groupBy("ord", "h", F.col("f.ord").alias("from_ord"), F.col("f.h").alias("from_h"), (F.col("first") - F.col("f.first")).alias("shift"))
-    matches = common.cut(matches.agg(F.collect_set("first").alias("firsts")), "matches")
-    lines = docs.select("ord", "h", "lines").dropDuplicates(["ord", "h"])
-    involved = matches.select("ord", "h").unionByName(matches.select(F.col("from_ord").alias("ord"), F.col("from_h").alias("h"))).distinct()
-    lines = common.cut(lines.join(involved, ["ord", "h"], "left_semi"), "involved")
-    both = matches.join(lines.withColumnRenamed("lines", "own"), ["ord", "h"])
-    both = both.join(lines.select(F.col("ord").alias("from_ord"), F.col("h").alias("from_h"), F.col("lines").alias("source")), ["from_ord", "from_h"])
-    both = both.select("ord", "h", "shift", "firsts", "own", "source")
-    runs = both.mapInArrow(_extend, "ord long, h long, start int, end int")
-    return common.cut(runs.groupBy("ord", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges")), "runs")
+    """(ord, h, ranges): ranges [start, end) of pieces to delete, from rows of (ord, h, text)."""
+    docs = texts.mapInArrow(_scan(gram_words, run_words), "ord long, h long, at array<int>, words array<int>, hashes binary, prints array<struct<gram:long,first:int>>")
+    docs = common.cut(docs, "lines", "zstd")
+    prints = docs.select("ord", "h", F.explode("prints").alias("p")).select("p.gram", "ord", "h", "p.first")
+    place = F.struct("ord", "h", "first")
+    twice = prints.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
+    twice = common.cut(twice.select("gram", "n"), "twice")
+    spots = common.join_back(prints, twice, "gram").groupBy("ord", "h").agg(F.collect_set("first").alias("spots"))
+    lines = docs.drop("prints").dropDuplicates(["ord", "h"])
+    runs = lines.join(spots, ["ord", "h"]).mapInArrow(_extend(gram_words, run_words), "key binary, ord long, h long, first int, last int, start int, end int")
+    runs = common.cut(runs, "runs")
+    place = F.struct("ord", "h", "first", "last")
+    firsts = runs.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("f")).filter("n > 1")
+    firsts = common.cut(firsts.select("key", "n", F.col("f.ord").alias("f_ord"), F.col("f.h").alias("f_h"), F.col("f.last").alias("f_last")), "firsts")
+    same = (F.col("ord") == F.col("f_ord")) & (F.col("h") == F.col("f_h"))
+    later = F.struct("ord", "h") > F.struct("f_ord", "f_h")
+    repeats = common.join_back(runs, firsts, "key").filter(later | same & (F.col("first") > F.col("f_last")))
+    ranges = repeats.groupBy("ord", "h").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    return common.cut(ranges.mapInArrow(_merge, "ord long, h long, ranges array<struct<start:int,end:int>>"), "ranges")
+
+
+def without(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The text without the pieces in the ascending ranges; a line of which the end went, but not the start, still ends."""
+    pieces, kept, done = pieces_of(text), [], 0
+    for start, end in ranges:
+        kept += pieces[done:start]
+        if pieces[end - 1].endswith(b"\n") and start and not pieces[start - 1].endswith(b"\n"):
+            kept.append(b"\n")
+        done = end
+    return b"".join(kept + pieces[done:]).decode("utf-8", "surrogatepass")
+
+
+def removed_column(documents: DataFrame) -> str:
+    """Name of the column that ``dedup_lines`` adds."""
+    return common.fresh(documents, "_lines_removed")
 
 
 def dedup_lines(documents: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows, all columns, with the text without its later repeated runs, and _lines_removed (array of [start, end) line ranges, empty if none)."""
+    """The input rows, all columns, with the text without its later repeated runs, and ``removed_column`` (array of [start, end) ranges of pieces, empty if none)."""
     common.small_batches(documents.sparkSession)
     ord_, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), common.text_of(text_col)
     runs = repeated_runs(documents.select(ord_.alias("ord"), F.xxhash64(text).alias("h"), text.alias("text")), gram_words, run_words)
-    few = runs.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    held = runs.agg(F.coalesce(F.sum(F.size("ranges") + 4), F.lit(0))).first()[0]
     o, h, r = (common.fresh(documents, x) for x in ("_ord", "_h", "_ranges"))
     runs = runs.select(F.col("ord").alias(o), F.col("h").alias(h), F.col("ranges").alias(r))
-    joined = documents.join(F.broadcast(runs) if few else runs, (ord_ == F.col(o)) & (F.xxhash64(text) == F.col(h)), "left")
-    stays = F.filter(F.split(text, "\n"), lambda line, i: ~F.exists(r, lambda x: (i >= x["start"]) & (i < x["end"])))
-    clean = F.when(F.col(r).isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    joined = documents.join(F.broadcast(runs) if held <= BROADCAST_RANGES else runs, (ord_ == F.col(o)) & (F.xxhash64(text) == F.col(h)), "left")
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without(t, list(zip(a.tolist(), b.tolist()))) for t, a, b in zip(texts, starts, ends)], dtype=object)
+
+    touched = F.col(r).isNotNull()
+    clean = cleaned(F.when(touched, F.col(text_col)), F.col(r)["start"], F.col(r)["end"])
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return joined.withColumn(text_col, clean).withColumn("_lines_removed", F.coalesce(F.col(r), none)).drop(o, h, r)
+    return joined.withColumn(text_col, F.when(touched, clean).otherwise(F.col(text_col))).withColumn(removed_column(documents), F.coalesce(F.col(r), none)).drop(o, h, r)
 
 
 def query(spark, sf_dir) -> DataFrame:
-    """doc_id, the text that stays, its lines before and how many of them went, and the ranges that went."""
+    """doc_id, the text that stays, its pieces before and how many of them went, and the ranges that went."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    before = docs.withColumn("n_lines", (F.length(common.text_of()) - F.length(F.translate(common.text_of(), "\n", "")) + 1).cast("long"))
-    after = dedup_lines(before)
+    cuts = F.size(F.split(common.text_of(), r"(?<=\n)|(?<=[.!?] )", -1)).cast("long")
+    after = dedup_lines(docs.withColumn("n_pieces", cuts))
     ranges = F.array_join(F.transform("_lines_removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
-    return after.select("doc_id", "text", "n_lines", F.size(_covered()).cast("long").alias("n_removed"), ranges.alias("removed"))
-
-
-def _covered():
-    """Distinct line numbers within the removed ranges."""
-    return F.array_distinct(F.flatten(F.transform("_lines_removed", lambda r: F.sequence(r["start"], r["end"] - 1))))
+    gone = F.aggregate("_lines_removed", F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    return after.select("doc_id", "text", "n_pieces", gone.cast("long").alias("n_removed"), ranges.alias("removed"))

@@ -74,3 +74,94 @@ def test_odd_rows(spark):
     got = sorted(run(spark, rows), key=lambda g: (g.doc_id is None, g.doc_id or 0))
     assert [(g.doc_id, g.text) for g in got] == [(0, a * 50), (1, a), (1, a), (2, None), (3, ""), (4, ""), (None, "mine")]
     assert run(spark, rows[:0]) == []
+
+
+def brute(rows):
+    """Texts by (id, text): every run of RUN_WORDS words or more held against all earlier ones."""
+    import re
+
+    split = {(10**18 if d is None else d, t or ""): re.split(r"(?<=\n)|(?<=[.!?] )", t or "") for d, t in rows}
+    keys = sorted(split, key=lambda k: (k[0], hash_of[k[1]]))
+    earlier, out = {}, {}
+    for key in keys:
+        parts = split[key]
+        own = [i for i, p in enumerate(parts) if p.split()]
+        gone, mine = set(), []
+        for a in range(len(own)):
+            held = 0
+            for b in range(a, len(own)):
+                held += len(parts[own[b]].split())
+                run = tuple(parts[i].strip() for i in own[a : b + 1])
+                if held >= ld.RUN_WORDS:
+                    if run in earlier or any(r == run and last < a for r, last in mine):
+                        gone |= set(range(own[a], (own + [len(parts)])[b + 1]))
+                    mine.append((run, b))
+        earlier |= dict.fromkeys(r for r, _ in mine)
+        kept = []
+        for i, p in enumerate(parts):
+            if i not in gone:
+                kept.append(p)
+            elif i + 1 not in gone and p.endswith("\n"):
+                start = i
+                while start - 1 in gone:
+                    start -= 1
+                if start and not parts[start - 1].endswith("\n"):
+                    kept.append("\n")
+        out[key] = "".join(kept)
+    return out
+
+
+hash_of = {}
+
+
+def held_against_brute(spark, rows):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hash_of.update({r.t: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()})
+    want = brute(rows)
+    before = df.withColumn("_lines_removed", F.col("text"))  # a clashing name passes through, and brings the old text along
+    got = ld.dedup_lines(before).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        assert (g.text or "") == want[10**18 if g.doc_id is None else g.doc_id, g._lines_removed or ""], (g.doc_id, g._lines_removed)
+    return want
+
+
+def test_equals_brute_force(spark):
+    r = random.Random(21)
+    p, q = words(r, 60), words(r, 30)
+    held_against_brute(spark, [(1, p), (2, p + "\n" + q), (3, p + "\n" + q), (4, q), (5, q + "\n" + p), (6, q + "\n\n" + p)])
+    for seed in range(4):
+        r = random.Random(seed)
+        lines = ["", " "] + [words(r, r.choice([3, 8, 8, 20, 35, 60])) + r.choice(["", ".", "!"]) for _ in range(14)]
+        runs = [[r.choice(lines) for _ in range(r.randint(2, 9))] for _ in range(6)]
+        rows = [(None if r.random() < 0.05 else d, None) for d in range(3)]
+        for d in range(60):
+            parts = []
+            for _ in range(r.randint(0, 7)):
+                parts += r.choice(runs) if r.random() < 0.5 else [r.choice(lines) if r.random() < 0.6 else words(r, 9) + "."]
+            text = "".join(x + r.choice(["\n", "\n", " "]) for x in parts)
+            rows.append((None if r.random() < 0.05 else d, text))
+        rows += rows[5:9]
+        want = held_against_brute(spark, rows)
+        assert sum(t != k[1] for k, t in want.items()) > 10
+
+
+def test_test_documents_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("length(text) < 6000").collect()]
+    want = held_against_brute(spark, rows)
+    assert any(t != k[1] for k, t in want.items())
+
+
+def test_recall_by_length_of_line(spark):
+    r = random.Random(5)
+    found = {}
+    for n in (8, 15, 30, 49, 50, 80):  # passages of over 50 words in lines, or in sentences of one line, of n words
+        for joint in ("\n", " "):
+            passages = [joint.join(words(r, n) + "." for _ in range(-(-55 // n))) for _ in range(20)]
+            rows = [(10 * i + k, f"{words(r, 30)}.{joint}{p}{joint}{words(r, 30)}.") for i, p in enumerate(passages) for k in range(2)]
+            got = {g.doc_id: g.text for g in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            found[n, joint] = sum(p in got[10 * i] and p not in got[10 * i + 1] for i, p in enumerate(passages)) / len(passages)
+    print(found)
+    assert set(found.values()) == {1.0}
