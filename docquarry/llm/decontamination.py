@@ -119,11 +119,6 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return found.filter("n_shifts > 0")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def verified(text: Column, items: Column, window: int, similarity: float) -> Column:
     """[(item_id, item_tokens, good: [(shift, agreeing, longest)])] of the text's tokens against items (item_id, t, shifts); the work is linear in the items' tokens."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
@@ -135,12 +130,12 @@ def verified(text: Column, items: Column, window: int, similarity: float) -> Col
         def compared(shift: Column) -> Column:
             agree = F.transform(item["t"], lambda token, i: F.coalesce(F.when(shift + i >= 0, (F.get(d, shift + i) == token).cast("int")), F.lit(0)))
             most = lambda a: F.array_max(F.transform(F.sequence(F.lit(1), F.size(a) - width + 1), lambda i: total(F.slice(a, i, width))))
-            return let(agree, lambda a: F.struct(shift.alias("shift"), total(a).alias("agreeing"), most(a).alias("longest")))
+            return common.let(agree, lambda a: F.struct(shift.alias("shift"), total(a).alias("agreeing"), most(a).alias("longest")))
 
         good = F.filter(F.transform(item["shifts"], compared), lambda x: x["longest"] >= needed)
         return F.struct(item["item_id"].alias("item_id"), F.size(item["t"]).alias("item_tokens"), good.alias("good"))
 
-    return let(text, lambda d: F.transform(items, lambda item: one(d, item)))
+    return common.let(text, lambda d: F.transform(items, lambda item: one(d, item)))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -42,11 +42,6 @@ _SPAN = "array<struct<start:int,end:int,long:int>>"
 SCHEMA_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,weak:boolean>>"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, also where the optimiser merges projections."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running(values: Column, first: Column, step) -> Column:
     """[step(first, v0), step(that, v1), ...].
 
@@ -67,9 +62,9 @@ def running(values: Column, first: Column, step) -> Column:
         return F.flatten(F.zip_with(starts, before, lambda at, state: F.aggregate(F.slice(every, at, F.lit(PIECE)), F.struct(state.alias("state"), none.alias("own")), one, lambda a: a["own"])))
 
     def walk(every: Column) -> Column:
-        return F.when(F.size(every) > 0, let(F.sequence(F.lit(1), F.size(every), F.lit(PIECE)), lambda starts: pieces(every, starts))).otherwise(none)
+        return F.when(F.size(every) > 0, common.let(F.sequence(F.lit(1), F.size(every), F.lit(PIECE)), lambda starts: pieces(every, starts))).otherwise(none)
 
-    return let(values, walk)
+    return common.let(values, walk)
 
 
 def _matches(df: DataFrame, name: str, pattern: str, when: Column, length_group: int = 0) -> DataFrame:
@@ -84,7 +79,7 @@ def _matches(df: DataFrame, name: str, pattern: str, when: Column, length_group:
         ends = running(F.zip_with(m, F.slice(p, F.lit(1), F.size(m)), lambda x, y: x + y), F.lit(0), lambda at, n: at + n)
         return F.zip_with(ends, F.zip_with(m, g, lambda x, y: F.struct(x.alias("m"), y.alias("g"))), lambda e, x: F.struct((e - x["m"]).alias("start"), e.alias("end"), x["g"].alias("long")))
 
-    walk = let(own, lambda m: let(between, lambda p: let(group, lambda g: spans(m, p, g))))
+    walk = common.let(own, lambda m: common.let(between, lambda p: common.let(group, lambda g: spans(m, p, g))))
     return df.withColumn(name, F.when(F.size(found) > 0, walk).otherwise(none)).drop(found)
 
 
@@ -137,8 +132,8 @@ def _linked(roles: dict[str, Column], scopes: Column) -> Column:
         tagged = lambda x: F.struct(x["e"]["at"].alias("start"), x["e"]["rank"].alias("rank"), x["e"]["kind"].alias("kind"), x["e"]["end"].alias("end"), F.lit(True).alias("weak"))
         return F.transform(F.filter(both, stays), tagged)
 
-    passes = lambda ev: let(running(ev, begin(-1, FAR), forwards), lambda f: let(F.reverse(running(F.reverse(ev), begin(FAR, -1), backwards)), lambda b: chosen(ev, f, b)))
-    return let(F.array_sort(F.concat(*every)), passes)
+    passes = lambda ev: common.let(running(ev, begin(-1, FAR), forwards), lambda f: common.let(F.reverse(running(F.reverse(ev), begin(FAR, -1), backwards)), lambda b: chosen(ev, f, b)))
+    return common.let(F.array_sort(F.concat(*every)), passes)
 
 
 def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
