@@ -4,10 +4,12 @@ Base spans come from the plain patterns. Then transducers rewrite the text,
 each carrying for every output character the source range it stands for:
 
 1. characters: invisible ones vanish, full-width and mathematical forms and
-   Cyrillic and Greek look-alikes become the Latin letters they resemble;
+   Cyrillic and Greek look-alikes become the Latin letters they resemble, digits
+   of other scripts become 0 to 9;
 2. spelled digits ("five five five", "null eins", "cero uno", "zéro un") in
    runs of seven or more, three of them words, become digits, a "plus" before
-   them "+"; letters O and l or I within a long number become 0 and 1;
+   them "+"; letters O and l or I within a long number become 0 and 1; four
+   groups of digits, spelled or not, with "dot" between them become an address;
 3. "[at]", "(dot)", "{arroba}", and " at " where " dot " follows in the same
    address, become "@" and ".".
 
@@ -25,11 +27,9 @@ length of the text, whatever it holds.
 
 from __future__ import annotations
 
-
 import re
 import unicodedata
 
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +39,11 @@ from docquarry.llm import common
 KINDS = ("email", "ip", "card", "phone")
 MIN_SPELLED = 7
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]+")
-_LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
 
 
 def luhn(digits: str) -> bool:
@@ -121,21 +119,25 @@ _DIGIT_WORDS = {
 _LOOKALIKES = _CYRILLIC | _GREEK | _INVISIBLE
 _FORMS = "！-～\U0001d400-\U0001d7ff①-⑳Ⓐ-ⓩ⁰-⁹₀-₉"
 _ODD = re.compile(f"[{''.join(_LOOKALIKES)}{_FORMS}]")
+_DIGIT = re.compile(r"(?![0-9])\d")
+_ODD_OR_DIGIT = re.compile(f"{_ODD.pattern}|{_DIGIT.pattern}")
 _WORDS = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus\W{{1,3}})?(?:(?:{_WORDS}|[0-9]{{1,4}})[ \t,.\-]{{1,3}}){{{MIN_SPELLED - 1},40}}(?:{_WORDS}|[0-9]{{1,4}})(?!\w)")
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus\W{{1,3}})?(?:(?:{_WORDS}|[0-9]{{1,4}})[ \t,.\-]{{1,3}}){{{MIN_SPELLED - 1},}}(?:{_WORDS}|[0-9]{{1,4}})(?!\w)")
 _SPELLED_HINT = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})[ \t,.\-]{{1,3}}(?:{_WORDS})[ \t,.\-]{{1,3}}(?:{_WORDS}|[0-9])(?!\w)")
 _DIGIT_TOKEN = re.compile(rf"(?i)plus|{_WORDS}|[0-9]+")
+_IP_TOKEN = re.compile(rf"(?i)dot|punkt|punto|point|{_WORDS}|[0-9]+")
 MIN_WORDS = 3
-_LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ .()\-]{0,2}[0-9OoIl]){4,40}(?![A-Za-z0-9])")
+_LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[ .()\-]{0,2}[0-9OoIl]){4,}(?![A-Za-z0-9])")
 _LETTERS = str.maketrans("OoIl", "0011")
 LEAST_DIGITS = 0.7
 _AT, _DOT = r"(?:at|arroba|arobase|ät|klammeraffe|@)", r"(?:dot|punkt|punto|point|\.)"
 _BRACKET_AT = re.compile(rf"(?i)[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}{_AT}[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}")
 _BRACKET_DOT = re.compile(rf"(?i)[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}{_DOT}[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}")
-_SPACED = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}(?:[ \t]{1,3}(?:dot|punkt|punto|point)[ \t]{1,3}[A-Za-z0-9._%+-]{1,64}){0,4})([ \t]{1,3}(?:at|arroba|arobase|ät)[ \t]{1,3}|[ \t]{0,3}@[ \t]{0,3})"
-    r"[A-Za-z0-9-]{1,63}((?:(?:[ \t]{1,3}(?:dot|punkt|punto|point)[ \t]{1,3}|\.)[A-Za-z0-9-]{1,63}){1,6})"
-)
+_SPACED_AT = re.compile(r"(?i)[ \t]{1,3}(?:at|arroba|arobase|ät)[ \t]{1,3}|[ \t]{0,3}@[ \t]{0,3}")
+_SPACED_DOMAIN = re.compile(r"(?i)[A-Za-z0-9-]+((?:(?:[ \t]{1,3}(?:dot|punkt|punto|point)[ \t]{1,3}|\.)[A-Za-z0-9-]+)+)")
+_DOT_BEFORE = re.compile(r"(?i)[ \t]{1,3}(?:dot|punkt|punto|point)[ \t]{1,3}$")
+_GROUP = rf"(?:(?:{_WORDS}|[0-9]{{1,3}})[ \t\-]{{1,2}}){{0,2}}(?:{_WORDS}|[0-9]{{1,3}})"
+_SPELLED_IP = re.compile(rf"(?i)(?<!\w){_GROUP}(?:[ \t]{{1,3}}(?:dot|punkt|punto|point)[ \t]{{1,3}}{_GROUP}){{3}}(?!\w)")
 _SPACED_DOT = re.compile(r"(?i)[ \t]{1,3}(?:dot|punkt|punto|point)[ \t]{1,3}")
 _DOT_WORD = re.compile(r"(?i)[ \t](?:dot|punkt|punto|point)[ \t]| @|@ ")
 _LONE_LETTERS = re.compile(r"^[OoIl]+[ .()\-]+[0-9]|[0-9][ .()\-]+[OoIl]+$")
@@ -164,8 +166,28 @@ class Rewritten:
         self.from_, self.to = a + self.from_[at:], b + self.to[at:]
 
 
+def _plain(c: str) -> str:
+    if c in _LOOKALIKES:
+        return _LOOKALIKES[c]
+    return str(unicodedata.decimal(c)) if c.isdecimal() else unicodedata.normalize("NFKC", c)
+
+
 def _characters(r: Rewritten) -> None:
-    r.replace([(m.start(), m.end(), _LOOKALIKES[m[0]] if m[0] in _LOOKALIKES else unicodedata.normalize("NFKC", m[0])) for m in _ODD.finditer(r.text)])
+    r.replace([(m.start(), m.end(), _plain(m[0])) for m in _ODD_OR_DIGIT.finditer(r.text)])
+
+
+def _spelled_ips(r: Rewritten) -> None:
+    edits = []
+    for run in _SPELLED_IP.finditer(r.text):
+        at = run.start()
+        for t in _IP_TOKEN.finditer(r.text, run.start(), run.end()):
+            if t.start() > at:
+                edits.append((at, t.start(), ""))
+            word = t[0].lower()
+            if not word.isdigit():
+                edits.append((t.start(), t.end(), _DIGIT_WORDS.get(word, ".")))
+            at = t.end()
+    r.replace(edits)
 
 
 def _spelled_runs(text: str):
@@ -201,19 +223,39 @@ def _signs(r: Rewritten) -> None:
     for pattern, new in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
         r.replace([(m.start(), m.end(), new) for m in pattern.finditer(r.text)])
     if _DOT_WORD.search(r.text):
-        edits = []
-        for m in _SPACED.finditer(r.text):
-            before, after = (list(_SPACED_DOT.finditer(r.text, m.start(g), m.end(g))) for g in (1, 3))
-            if m[2] == "@" and "." in _SPACED_DOT.sub("", m[3]):  # a whole address already
+        edits, done = [], 0
+        for m in _SPACED_AT.finditer(r.text):
+            domain = _SPACED_DOMAIN.match(r.text, m.end()) if m.start() >= done else None
+            if not domain:
+                continue
+            before, at = [], _run_start(r.text, m.start(), done)
+            if at == m.start():
+                continue
+            while dot := _DOT_BEFORE.search(r.text, max(done, at - 12), at):
+                start = _run_start(r.text, dot.start(), done)
+                if start == dot.start():
+                    break
+                before.append(dot)
+                at = start
+            before, after = before[::-1], list(_SPACED_DOT.finditer(r.text, domain.start(1), domain.end(1)))
+            if m[0] == "@" and "." in _SPACED_DOT.sub("", domain[1]):  # a whole address already
                 before, after = ([d for d in part if d[0].strip().lower() == "dot"] for part in (before, after))
-            if after or "@" in m[2]:
-                edits += [*((d.start(), d.end(), ".") for d in before), (m.start(2), m.end(2), "@"), *((d.start(), d.end(), ".") for d in after)]
+            if after or "@" in m[0]:
+                edits += [*((d.start(), d.end(), ".") for d in before), (m.start(), m.end(), "@"), *((d.start(), d.end(), ".") for d in after)]
+                done = domain.end()
         r.replace(edits)
 
 
+def _run_start(text: str, end: int, least: int) -> int:
+    """Where the run of local characters that ends before ``end`` begins."""
+    while end > least and text[end - 1] in _LOCAL_CHARS:
+        end -= 1
+    return end
+
+
 def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Identifiers that show only after rewriting, at their source offsets."""
-    odd, spelled = _ODD.search(text), _SPELLED_HINT.search(text)
+    odd, spelled = not text.isascii() and (_ODD.search(text) or _DIGIT.search(text)), _SPELLED_HINT.search(text)
     signs = _BRACKET_AT.search(text) or _BRACKET_DOT.search(text) or _DOT_WORD.search(text)
     lettered = _lettered_runs(text)
     if not (odd or spelled or signs or lettered):
@@ -221,6 +263,8 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     r = Rewritten(text)
     if odd:
         _characters(r)
+    if _DOT_WORD.search(r.text):
+        _spelled_ips(r)
     spelled_at: set[int] = set()
     if spelled or odd or lettered:
         spelled_at = {r.from_[m.start()] for m in _spelled_runs(r.text)}
@@ -296,7 +340,8 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    found = found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("_text"), F.size("spans").cast("long").alias("n_spans"))
+    return found.withColumnRenamed("_text", "spans")
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -96,3 +96,65 @@ def test_disguises_beside_a_plain_match_are_added():
 def test_prose_beside_a_plain_match_is_not_added():
     for text in ["call +1 555 123 4567 I am in", "at this point john@example.com wrote", "john@example.com point taken", "почтаjohn@example.com"]:
         assert [s for s in pii.find_spans(text) if s[3]] == [], text
+
+
+def test_no_bound_on_length():
+    long = "jane dot doe" + "".join(f" dot p{i}" for i in range(40)) + " at a" + "".join(f" dot d{i}" for i in range(40)) + " dot org"
+    spelled = "plus " + " ".join(["one five"] * 5)
+    for value, kind in ((long, "email"), ("jane dot doe dot x dot y dot z dot q dot r at a dot org", "email"), ("x" * 200 + " at " + "y" * 200 + " dot org", "email"), (spelled, "phone")):
+        assert [(k, a, b) for k, a, b, _ in pii.find_spans(f"so {value}, ok")] == [(kind, 3, 3 + len(value))], value
+    text = "one " * 300 + "4l11 " * 200  # too long for a number, and no reason to crash
+    assert pii.find_spans(text) == []
+
+
+def disguised(r):
+    """(kind, a random disguise of a random identifier)."""
+    words = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    word = lambda: "".join(r.choice("bdfghjkmnrstuvwz") for _ in range(r.randint(3, 8)))
+    spell = lambda digits: " ".join(words[int(d)] for d in digits)
+    kind = r.choice(["email", "email", "ip", "phone", "card"])
+    if kind == "email":
+        local, labels = [word() for _ in range(r.randint(1, 6))], [word() for _ in range(r.randint(1, 6))] + [r.choice(["org", "com", "net"])]
+        how = r.randrange(4)
+        if how == 0:
+            return kind, " dot ".join(local) + " at " + " dot ".join(labels)
+        if how == 1:
+            at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" [ at ] ", " [ dot ] "), ("{at}", "{dot}")])
+            return kind, dot.join(local) + at + dot.join(labels)
+        plain = ".".join(local) + "@" + ".".join(labels)
+        if how == 2:
+            return kind, "".join(chr(ord(c) + 0xFEE0) for c in plain)
+        look = {"o": "о", "m": "ⅿ", "s": "ѕ"}
+        plain = "o" + plain + "o"
+        return kind, plain.replace("o", look["o"]).replace("s", look["s"])
+    if kind == "ip":
+        parts = [str(r.randint(0, 255)) for _ in range(4)]
+        how = r.randrange(4)
+        if how == 0:
+            return kind, " dot ".join(map(spell, parts))
+        if how == 1:
+            return kind, " dot ".join(parts)
+        zero = 0x660 if how == 2 else 0xFF10
+        return kind, "".join(chr(zero + int(c)) if c.isdigit() else c for c in ".".join(parts))
+    n = r.randint(9, 13) if kind == "phone" else 16
+    digits = "".join(str(r.randint(0, 9)) for _ in range(n))
+    if kind == "card":
+        digits = next(x for x in (digits[:-1] + str(d) for d in range(10)) if pii.luhn(x))
+    if r.random() < 0.5:
+        return kind, ("plus " if kind == "phone" else "") + spell(digits)
+    zero = r.choice([0x660, 0x966, 0xFF10, 0x1D7CE])
+    return kind, ("+" if kind == "phone" else "") + "".join(chr(zero + int(c)) for c in digits)
+
+
+def test_random_disguises_are_found_whole():
+    r = random.Random(11)
+    found = {}
+    for _ in range(4000):
+        kind, value = disguised(r)
+        text = f"xx: {value}; yy"
+        hit = any(k == kind and (a, b) == (4, 4 + len(value)) for k, a, b, _ in pii.find_spans(text))
+        n, m = found.get(kind, (0, 0))
+        found[kind] = n + hit, m + 1
+        if not hit:
+            print(kind, value, pii.find_spans(text))
+    assert {k: n / m for k, (n, m) in found.items()} == {k: 1.0 for k in found}
