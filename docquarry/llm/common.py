@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +120,46 @@ def join_back(rows: DataFrame, keys: DataFrame, key: str, most: int = HOT, keys_
     return rows.join(F.broadcast(hot.drop("n")), key).unionByName(cold)
 
 
+BLOCK = 1 << 16
+FAN = 16  # partial sums of a block
+
+
+def blocks_of(values: np.ndarray):
+    """(number, packed) of the blocks of a flat array that are not all zero."""
+    flat = values.ravel()
+    for i in range(0, len(flat), BLOCK):
+        if flat[i : i + BLOCK].any():
+            yield i // BLOCK, zlib.compress(flat[i : i + BLOCK].tobytes(), 1)
+
+
+def add_up(rows: DataFrame, size: int, kind) -> np.ndarray:
+    """Sum of the blocks in rows of (block, part, packed), whatever their number, in order of ``part``.
+
+    Each block is added up in ``FAN`` streams, then these; the driver gets one table of ``size`` numbers.
+    """
+    wide = np.float64 if kind == np.float32 else np.int64
+    schema, names = "block int, part long, packed binary", ["block", "part", "packed"]
+
+    def adder(own, fan):
+        def add(batches):
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for i, part, b in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    key = i, part % fan
+                    total[key] = total.get(key, 0) + np.frombuffer(zlib.decompress(b), own).astype(wide)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in total], pa.int32()), pa.array([p for _, p in total], pa.int64()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=names)
+
+        return add
+
+    dealt = rows.select("block", "part", "packed").repartition("block", F.pmod("part", F.lit(FAN))).sortWithinPartitions("block", "part")
+    dealt = dealt.mapInArrow(adder(kind, FAN), schema).repartition("block").sortWithinPartitions("block", "part").mapInArrow(adder(wide, 1), schema)
+    out = np.zeros(size, wide)
+    for r in dealt.toLocalIterator():
+        got = np.frombuffer(zlib.decompress(r.packed), wide)
+        out[r.block * BLOCK : r.block * BLOCK + len(got)] = got
+    return out
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the tables that ``cut`` has written for this application; results read from them must be stored before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docquarry-{spark.sparkContext.applicationId}")

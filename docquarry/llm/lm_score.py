@@ -36,7 +36,6 @@ rows included; extra columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from itertools import chain, repeat
 
@@ -65,8 +64,6 @@ ROUNDS = 4
 #: Subwords of a shard; shards grow where a round would have more than MOST_SHARDS.
 SHARD, MOST_SHARDS = 1 << 21, 1 << 14
 BATCH, RATE = 64, 0.01
-FAN = 16  # partial sums of a block
-BLOCK = 1 << 16
 TALLY = 1_000_000
 FEW = 64  # texts whose words are looked up together; more would leave the processor's cache
 CHUNK = 128  # windows scored at once
@@ -308,42 +305,6 @@ class Tally:
         return self.total
 
 
-def _blocks(values: np.ndarray):
-    """(number, packed) of the blocks of a flat array that are not all zero."""
-    flat = values.ravel()
-    for i in range(0, len(flat), BLOCK):
-        if flat[i : i + BLOCK].any():
-            yield i // BLOCK, zlib.compress(flat[i : i + BLOCK].tobytes(), 1)
-
-
-def _add_up(rows: DataFrame, size: int, kind) -> np.ndarray:
-    """Sum of the blocks in rows of (block, part, packed), whatever their number, in order of ``part``.
-
-    Each block is added up in ``FAN`` streams, then these; the driver gets one table of ``size`` numbers.
-    """
-    wide = np.float64 if kind == np.float32 else np.int64
-    schema, names = "block int, part long, packed binary", ["block", "part", "packed"]
-
-    def adder(own, fan):
-        def add(batches):
-            total: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                for i, part, b in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                    key = i, part % fan
-                    total[key] = total.get(key, 0) + np.frombuffer(zlib.decompress(b), own).astype(wide)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in total], pa.int32()), pa.array([p for _, p in total], pa.int64()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=names)
-
-        return add
-
-    dealt = rows.select("block", "part", "packed").repartition("block", F.pmod("part", F.lit(FAN))).sortWithinPartitions("block", "part")
-    dealt = dealt.mapInArrow(adder(kind, FAN), schema).repartition("block").sortWithinPartitions("block", "part").mapInArrow(adder(wide, 1), schema)
-    out = np.zeros(size, wide)
-    for r in dealt.toLocalIterator():
-        got = np.frombuffer(zlib.decompress(r.packed), wide)
-        out[r.block * BLOCK : r.block * BLOCK + len(got)] = got
-    return out
-
-
 def _read(documents: DataFrame, paths) -> DataFrame:
     """Rows of texts (rid, doc_id, held_out, text, ids), of word counts (word, n) and of follow counts (block, packed)."""
 
@@ -378,7 +339,7 @@ def _read(documents: DataFrame, paths) -> DataFrame:
                 yield counts()
                 words.clear()
         yield counts()
-        blocks = list(_blocks(follows.flush()))
+        blocks = list(common.blocks_of(follows.flush()))
         n = len(blocks)
         yield pa.RecordBatch.from_arrays([nothing(n, pa.int64()), nothing(n, pa.bool_()), nothing(n, pa.string()), nothing(n, pa.binary()), nothing(n, pa.int64()), nothing(n, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=names)
 
@@ -401,11 +362,11 @@ def _count_pairs(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
                 seen.add(both[1:].astype(np.int32))
         total = pairs.flush()
         total[CLASSES :: CLASSES + 1] = seen.flush()
-        blocks = list(_blocks(total))
+        blocks = list(common.blocks_of(total))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=["block", "packed"])
 
     rows = texts.filter("not held_out").select("ids").mapInArrow(scan, "block int, packed binary").withColumn("part", F.spark_partition_id().cast("long"))
-    total = _add_up(rows, VOCAB * (CLASSES + 1), np.int32).reshape(VOCAB, CLASSES + 1)
+    total = common.add_up(rows, VOCAB * (CLASSES + 1), np.int32).reshape(VOCAB, CLASSES + 1)
     cls.destroy()
     return total
 
@@ -472,7 +433,7 @@ def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np
         start, shard, trainer = sent.value, None, None
 
         def ended():
-            blocks = list(_blocks(trainer.changes()))
+            blocks = list(common.blocks_of(trainer.changes()))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([shard] * len(blocks), pa.int64()), pa.array([p for _, p in blocks], pa.binary())], names=["block", "part", "packed"])
 
         for batch in batches:
@@ -491,7 +452,7 @@ def _train_round(texts: DataFrame, weights: dict, classes: np.ndarray, table: np
     dealt = dealt.withColumn("_shard", F.pmod(F.shiftright("_key", 20), F.lit(shards)))
     dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_key", "doc_id").select("_shard", "ids")
     size = sum(weights[n].size for n in NAMES) + VOCAB + 1
-    total = _add_up(dealt.mapInArrow(scan, "block int, part long, packed binary"), size, np.float32)
+    total = common.add_up(dealt.mapInArrow(scan, "block int, part long, packed binary"), size, np.float32)
     sent.destroy()
     return _averaged(weights, total)
 
@@ -526,7 +487,7 @@ def score_documents(documents: DataFrame, head: int = HEAD, rounds: int = ROUNDS
     z = total + 0.5 * (distinct + 1)
     hashes, numbers = _head(counts, head)
 
-    follows = _add_up(read.filter("block is not null").withColumn("part", F.spark_partition_id().cast("long")), VOCAB * BUCKETS, np.int32).reshape(VOCAB, BUCKETS)
+    follows = common.add_up(read.filter("block is not null").withColumn("part", F.spark_partition_id().cast("long")), VOCAB * BUCKETS, np.int32).reshape(VOCAB, BUCKETS)
     classes = make_classes(follows)
     table, share = make_tables(_count_pairs(texts, classes), classes)
     weights, shards = fresh_weights(), min(MOST_SHARDS, 1 + int(follows.sum()) // (max(1, rounds) * SHARD))

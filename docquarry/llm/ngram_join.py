@@ -10,15 +10,18 @@ Plan:
 1. one pass over the texts: set digest, size and a parity signature of each
    document, and the slot counts. Documents with the same set are one node.
 2. a second pass emits the prefix elements of each distinct set; elements in
-   the prefixes of two or more sets survive.
+   the prefixes of two or more sets survive. Elements of slots far above the mean
+   are dealt by element and salt; groups are counted and joined back from there
+   on, never gathered.
 3. star round: within an element's group each set may meet only the group's
    pivot, the set with the fewest rarer elements before it, and meets the
    ``PIVOTS`` it shares most with. In a group of near copies that links nearly
    all of them, in about as many pairs as members.
 4. exact round: what still lies in different components is joined pair by pair
    on the element, under the length, positional and suffix filters, and without
-   the pairs of the first round. So no link between components is lost, while
-   pairs inside a component that is already linked are never made.
+   the pairs of the first round; in an element's group each set meets only those
+   outside the group's largest component. So no link between components is lost,
+   while pairs inside a component that is already linked are never made.
 5. each candidate pair is verified once, on the whole sets.
 
 Filters of a pair: length, t max <= min; positional, the elements from the
@@ -34,7 +37,6 @@ pairs; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -46,11 +48,12 @@ from pyspark.sql.window import Window
 from docquarry.llm import common, graph
 
 SLOT_BITS = 20
-BLOCK = 4096
 CACHE = 300_000
 #: Pivots that a set meets in the star round, those it shares most prefix elements with; the exact round takes up the rest.
 PIVOTS = 2
 BROADCAST_IDS = 1_000_000
+#: Occurrences of a slot over the mean from which its elements are dealt by salt.
+HOT_SLOT, SALTS = 8, 16
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -105,7 +108,7 @@ def least_overlap(n, t: Fraction):
 
 def _sets(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """(table of doc_id, digest, n, s1, s2; slot counts) in one pass."""
-    schema = "doc_id long, digest binary, n long, s1 long, s2 long, block int, counts binary"
+    schema = "doc_id long, digest binary, n long, s1 long, s2 long, block int, packed binary"
     names = [c.split()[0] for c in schema.split(", ")]
     types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -126,35 +129,26 @@ def _sets(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
                     np.add.at(counts, slot(s), 1)
                 out.append((doc_id, digest, len(s), *signature(s), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
-        blocks = [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(counts.reshape(-1, BLOCK)) if b.any()]
+        blocks = list(common.blocks_of(counts))
         nothing = [pa.nulls(len(blocks), t) for t in types[:5]]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=names)
 
     both = common.cut(texts.mapInArrow(scan, schema), "sets")
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(b), np.int32).astype(np.int64)
-        keys = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["block", "counts"])
-
-    counts = np.zeros(1 << SLOT_BITS, np.int64)  # the driver gets 8 MB at most
-    blocks = both.filter("block is not null").select("block", "counts")
-    for r in blocks.repartition("block").mapInArrow(add, "block int, counts binary").collect():
-        counts[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
-    return both.filter("block is null").drop("block", "counts"), counts
+    blocks = both.filter("block is not null").select("block", F.spark_partition_id().cast("long").alias("part"), "packed")
+    counts = common.add_up(blocks, 1 << SLOT_BITS, np.int32)  # the driver gets 8 MB at most
+    return both.filter("block is null").drop("block", "packed"), counts
 
 
 def _prefixes(texts: DataFrame, n: int, t: Fraction, counts: np.ndarray) -> DataFrame:
-    """(element, digest, pos) of the rare-first prefix of each distinct set."""
+    """(element, digest, pos, salt) of the rare-first prefix of each distinct set; salt is above 0 for elements of slots far above the mean, which are dealt over SALTS tasks."""
+    hot = HOT_SLOT * max(1.0, float(counts.mean()))
     order = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     def scan(batches):
         shingler, seen, rank = Shingler(n), set(), order.value
         for batch in batches:
-            elements, positions, digests, sizes = [], [], [], []
+            elements, positions, digests, sizes, salts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingler.set_of(text)
                 if not len(s) or (digest := shingler.digest(s)) in seen:
@@ -163,15 +157,25 @@ def _prefixes(texts: DataFrame, n: int, t: Fraction, counts: np.ndarray) -> Data
                     seen.clear()
                 seen.add(digest)
                 p = len(s) - least_overlap(len(s), t) + 1
-                elements.append(s[np.argsort(rank[slot(s)], kind="stable")[:p]])
+                ranks = rank[slot(s)]
+                first = np.argsort(ranks, kind="stable")[:p]
+                elements.append(s[first])
                 positions.append(np.arange(p, dtype=np.int32))
+                salts.append(np.where(ranks[first] > hot, 1 + digest[0] % SALTS, 0).astype(np.int32))
                 digests.append(digest)
                 sizes.append(p)
             if elements:
                 own = pa.array(digests, pa.binary()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(elements).view(np.int64)), own, pa.array(np.concatenate(positions))], names=["element", "digest", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(elements).view(np.int64)), own, pa.array(np.concatenate(positions)), pa.array(np.concatenate(salts))], names=["element", "digest", "pos", "salt"])
+
+    return texts.mapInArrow(scan, "element long, digest binary, pos int, salt int")
+
 
-    return texts.mapInArrow(scan, "element long, digest binary, pos int")
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of elements with two sets or more; of salted elements all, as their groups are not whole here."""
+    group = Window.partitionBy("element", "salt")
+    rows = rows.withColumn("_low", F.min("digest").over(group)).withColumn("_high", F.max("digest").over(group))
+    return rows.filter("salt > 0 or _low <> _high").drop("_low", "_high", "salt")
 
 
 def _overlap(t: Fraction) -> Column:
@@ -221,7 +225,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, t: Frac
     whole = whole.join(F.broadcast(names) if few else names, "digest").drop("digest")
     of = lambda side: _restrict(whole, pairs.select(F.col(side).alias("nid")).distinct(), "nid").select(F.col("nid").alias(side), F.col("elements").alias(f"of_{side}"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("either"))
+    held = common.cut(pairs.groupBy("b").agg(F.count("*").alias("n"), F.count("*").alias("_n")), "held")
+    salts = F.when(F.col("_n") > common.HOT, F.lit(SALTS)).otherwise(F.lit(1))
+    dealt = common.join_back(pairs, held, "b").withColumn("_salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("_n")
+    copies = of("b").join(held.drop("n"), "b").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_n")
+    joined = dealt.join(of("a"), "a").join(copies, ["b", "_salt"]).select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("either"))
     return common.cut(joined.filter(F.col("shared") * t.denominator >= F.col("either") * t.numerator).select("a", "b").distinct(), "links")
 
 
@@ -235,29 +243,32 @@ def link_documents(documents: DataFrame, n: int = 4, similarity: Fraction = Frac
     sets = members.filter("digest is not null and doc_id is not null").groupBy("digest")
     sets = sets.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     sets = common.cut(sets.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # written, so the numbers stay
-    signed = sets.select("nid", "s1", "s2")
 
     # elements in the prefixes of two sets or more; sizes and signatures join late, to keep shuffled rows narrow
-    group = Window.partitionBy("element")
-    rows = _prefixes(usable, n, t, counts)
-    rows = rows.withColumn("_low", F.min("digest").over(group)).withColumn("_high", F.max("digest").over(group)).filter("_low <> _high").drop("_low", "_high")
-    rows = common.cut(rows.join(sets.select("digest", "nid", F.col("n").cast("int").alias("n")), "digest").select("element", "nid", "pos", "n").distinct(), "prefixes")
-
-    own = F.struct("pos", "n", "nid")
-    stars = rows.select(F.col("nid").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.min(own).over(group).alias("y"))
-    stars = stars.select("x", "x_n", "x_pos", F.col("y.nid").alias("y"), F.col("y.n").alias("y_n"), F.col("y.pos").alias("y_pos")).filter("x <> y").filter(_may_link(t))
-    stars = stars.groupBy("x", "y").agg(F.count("*").alias("together"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
-    stars = stars.join(_side(signed, "x").withColumnRenamed("x_nid", "x"), "x").join(_side(signed, "y").withColumnRenamed("y_nid", "y"), "y").filter(_near(t))
+    rows = _shared(_prefixes(usable, n, t, counts))
+    described = sets.select("digest", "nid", F.col("n").cast("int").alias("n"), "s1", "s2")
+    rows = common.cut(rows.join(described, "digest").drop("digest").dropDuplicates(["element", "nid"]), "prefixes")
+
+    pivots = rows.groupBy("element").agg(F.count("*").alias("n"), F.min(F.struct("pos", "n", "nid", "s1", "s2")).alias("y")).filter("n > 1")
+    pivots = common.cut(pivots.select("element", "n", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("pos", "n", "nid", "s1", "s2"))), "pivots")
+    stars = common.join_back(_side(rows, "x", "element"), pivots, "element").filter("x_nid <> y_nid").filter(_may_link(t) & _near(t))
+    stars = stars.groupBy(F.col("x_nid").alias("x"), F.col("y_nid").alias("y")).agg(F.count("*").alias("together"))
     nearest = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("together"), "y"))
     stars = common.cut(stars.withColumn("_nearest", nearest).filter(f"_nearest <= {PIVOTS}").select(F.col("x").alias("a"), F.col("y").alias("b")), "stars")
     links = _verify(stars, sets, usable, n, t)
     labels = graph.components(links)
 
-    rows = rows.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    rows = rows.withColumn("_low", F.min("root").over(group)).withColumn("_high", F.max("root").over(group)).filter("_low <> _high").drop("_low", "_high")
-    rows = common.cut(rows.join(signed, "nid"), "apart")
-    apart = (F.col("x_root") != F.col("y_root")) & (F.struct("x_n", "x_nid") > F.struct("y_n", "y_nid")) & _may_link(t) & _near(t)
-    rest = _side(rows, "x", "element").join(_side(rows, "y", "element").withColumnRenamed("element", "y_element"), (F.col("element") == F.col("y_element")) & apart)
+    # in an element's group every set meets those outside the group's largest component only
+    rows = common.cut(rows.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")), "rooted")
+    roots = rows.groupBy("element", "root").agg(F.count("*").alias("k"))
+    mixed = roots.groupBy("element").agg(F.sum("k").alias("n"), F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
+    mixed = common.cut(mixed.select("element", "n", "m", F.col("most.root").alias("big")), "mixed")
+    rows = common.cut(common.join_back(rows, mixed, "element"), "apart")
+    salts = F.when(F.col("m") > common.HOT, F.lit(SALTS)).otherwise(F.lit(1))
+    one = _side(rows.withColumn("salt", F.pmod(F.xxhash64("nid"), salts).cast("int")).drop("m"), "x", "element", "salt", "big")
+    other = _side(rows.filter("root <> big").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m", "big"), "y", "element", "salt")
+    once = (F.col("x_root") == F.col("big")) | (F.struct("x_n", "x_nid") > F.struct("y_n", "y_nid"))
+    rest = one.join(other, ["element", "salt"]).filter((F.col("x_root") != F.col("y_root")) & once & _may_link(t) & _near(t))
     rest = rest.select(F.col("x_nid").alias("a"), F.col("y_nid").alias("b")).distinct()
     met = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = common.cut(rest.join(met, ["a", "b"], "left_anti"), "rest")
