@@ -35,10 +35,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import common
@@ -49,6 +51,7 @@ BROADCAST_RANGES = 1_000_000
 LAST = (1 << 63) - 1
 _CUT = re.compile(rb"(?<=\n)|(?<=[.!?] )")
 HASH = 16
+PLACE = "decimal(38,0)"
 
 
 def pieces_of(text: str) -> list[bytes]:
@@ -60,14 +63,10 @@ def worded(text: str) -> tuple[list[int], list[int], list[bytes]]:
     """(number among all pieces, words, digest) of each piece with a word; the count of pieces stands after the numbers."""
     import xxhash
 
-    at, words, hashes = [], [], []
-    pieces = pieces_of(text)
-    for i, piece in enumerate(pieces):
-        if n := len(piece.split()):
-            at.append(i)
-            words.append(n)
-            hashes.append(xxhash.xxh3_128_digest(piece.strip()))
-    return [*at, len(pieces)], words, hashes
+    digest, pieces = xxhash.xxh3_128_digest, pieces_of(text)
+    counts = [len(x.split()) for x in pieces]
+    at = [i for i, n in enumerate(counts) if n]
+    return [*at, len(pieces)], [counts[i] for i in at], [digest(pieces[i].strip()) for i in at]
 
 
 def ends_of(words: list[int], least: int) -> list[int]:
@@ -91,15 +90,20 @@ def fingerprints(words: list[int], hashes: list[bytes], gram_words: int = GRAM_W
     windows = ends_of(words, run_words)
     if not windows:
         return []
-    joined, ends = b"".join(hashes), ends_of(words, gram_words)
-    grams = [(xxhash.xxh3_64_intdigest(joined[HASH * i : HASH * end]) - (1 << 63), i) for i, end in enumerate(ends)]
-    chosen, upto = set(), 0
+    joined, ends, hash_of = b"".join(hashes), ends_of(words, gram_words), xxhash.xxh3_64_intdigest
+    grams = [hash_of(joined[HASH * i : HASH * end]) for i, end in enumerate(ends)]
+    chosen, upto, best, n = [], 0, -1, len(ends)
     for i, end in enumerate(windows):
-        upto = max(upto, i)
-        while upto < len(ends) and ends[upto] <= end:
+        if best < i:
+            best, upto = i, i + 1
+        least = grams[best]
+        while upto < n and ends[upto] <= end:
+            if grams[upto] < least:
+                best, least = upto, grams[upto]
             upto += 1
-        chosen.add(min(grams[i:upto])[1])
-    return [(grams[s][0], s, ends[s]) for s in sorted(chosen)]
+        if not chosen or chosen[-1] != best:
+            chosen.append(best)
+    return [(grams[s] - (1 << 63), s, ends[s]) for s in chosen]
 
 
 def runs_around(words: list[int], spots: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
@@ -115,80 +119,88 @@ def runs_around(words: list[int], spots: list[int], gram_words: int = GRAM_WORDS
     return out
 
 
+def place_of(doc_id: Column, text: Column) -> Column:
+    """A document's place in the order of ids, texts of one id in the order of their hash; rows without id come last."""
+    ord_, low = F.coalesce(doc_id.cast("long"), F.lit(LAST)), F.shiftrightunsigned(F.xxhash64(text), 4)
+    return (ord_.cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + low.cast("decimal(19,0)")).cast(PLACE)
+
+
 def _scan(gram_words: int, run_words: int):
-    """Rows of (ord, h, at, words, hashes) for each text long enough, and of (gram, ord, h, first) for each fingerprint."""
-    names = ["ord", "h", "at", "words", "hashes", "prints"]
+    """Rows of (place, at, words, hashes, prints) for each text long enough."""
+    names = ["place", "at", "words", "hashes", "prints"]
     a_print = pa.struct([("gram", pa.int64()), ("first", pa.int32())])
 
     def scan(batches):
         for batch in batches:
-            out = []
-            for ord_, h, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            out, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 at, words, hashes = worded(text)
                 got = fingerprints(words, hashes, gram_words, run_words)
                 if got:
-                    out.append((ord_, h, at, words, b"".join(hashes), [{"gram": g, "first": a} for g, a, _ in got]))
+                    rows.append(i)
+                    out.append((at, words, b"".join(hashes), [g for g, _, _ in got], [a for _, a, _ in got]))
             if out:
-                types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(a_print)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                at, words, hashes, grams, firsts = zip(*out)
+                own = pa.array(np.cumsum([0, *map(len, grams)]), pa.int32())
+                flat = pa.StructArray.from_arrays([pa.array(chain.from_iterable(grams), pa.int64()), pa.array(chain.from_iterable(firsts), pa.int32())], fields=list(a_print))
+                lists = [pa.array(at, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32())), pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(own, flat)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *lists], names=names)
 
     return scan
 
 
 def _extend(gram_words: int, run_words: int):
-    """(key, ord, h, first, last, start, end) of each run around a repeated fingerprint; start and end count all pieces."""
+    """(key, place, range) of each run around a repeated fingerprint; a run that an earlier one of its own text equals has no key.
+
+    A range is the first piece times 2^32 plus the end, counting all pieces.
+    """
 
     def extend(batches):
         import xxhash
 
         for batch in batches:
-            out = [[] for _ in range(7)]
-            for ord_, h, at, words, hashes, spots in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ord", "h", "at", "words", "hashes", "spots"))):
+            keys, rows, ranges = [], [], []
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("at", "words", "hashes", "spots"))
+            for i, (at, words, hashes, spots) in enumerate(zip(*columns)):
+                ended: dict[bytes, int] = {}
                 for first, end in runs_around(words, sorted(spots), gram_words, run_words):
-                    row = xxhash.xxh3_128_digest(hashes[HASH * first : HASH * end]), ord_, h, first, end - 1, at[first], at[end]
-                    for column, value in zip(out, row):
-                        column.append(value)
-            types = [pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["key", "ord", "h", "first", "last", "start", "end"])
+                    key = xxhash.xxh3_128_digest(hashes[HASH * first : HASH * end])
+                    keys.append(key if ended.setdefault(key, end) > first else None)
+                    rows.append(i)
+                    ranges.append((at[first] << 32) + at[end])
+            places = batch.column(batch.schema.get_field_index("place")).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), places, pa.array(ranges, pa.int64())], names=["key", "place", "range"])
 
     return extend
 
 
 def _merge(batches):
-    """Overlapping and adjacent ranges of a document made one."""
+    """Overlapping and adjacent ranges of a document made one; they come in ascending order."""
     for batch in batches:
         merged = []
-        for ranges in batch.column(2).to_pylist():
-            own = []
-            for r in sorted(ranges, key=lambda r: (r["start"], r["end"])):
-                if own and r["start"] <= own[-1]["end"]:
-                    own[-1]["end"] = max(own[-1]["end"], r["end"])
-                else:
-                    own.append({"start": r["start"], "end": r["end"]})
-            merged.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["ord", "h", "ranges"])
+        for own in batch.column(1):
+            coded = own.values.to_numpy()
+            starts, ends = coded >> 32, np.maximum.accumulate(coded & 0xFFFFFFFF)
+            new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
+            merged.append([{"start": a, "end": b} for a, b in zip(starts[new].tolist(), ends[np.append(new[1:], len(ends)) - 1].tolist())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["place", "ranges"])
 
 
 def repeated_runs(texts: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(ord, h, ranges): ranges [start, end) of pieces to delete, from rows of (ord, h, text)."""
-    docs = texts.mapInArrow(_scan(gram_words, run_words), "ord long, h long, at array<int>, words array<int>, hashes binary, prints array<struct<gram:long,first:int>>")
-    docs = common.cut(docs, "lines", "zstd")
-    prints = docs.select("ord", "h", F.explode("prints").alias("p")).select("p.gram", "ord", "h", "p.first")
-    place = F.struct("ord", "h", "first")
-    twice = prints.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
-    twice = common.cut(twice.select("gram", "n"), "twice")
-    spots = common.join_back(prints, twice, "gram").groupBy("ord", "h").agg(F.collect_set("first").alias("spots"))
-    lines = docs.drop("prints").dropDuplicates(["ord", "h"])
-    runs = lines.join(spots, ["ord", "h"]).mapInArrow(_extend(gram_words, run_words), "key binary, ord long, h long, first int, last int, start int, end int")
+    """(place, ranges): ranges [start, end) of pieces to delete, from rows of (place, text)."""
+    docs = texts.mapInArrow(_scan(gram_words, run_words), f"place {PLACE}, at array<int>, words array<int>, hashes binary, prints array<struct<gram:long,first:int>>")
+    docs = common.cut(docs, "lines")
+    prints = docs.select("place", F.explode("prints").alias("p")).select("p.gram", "place", "p.first")
+    twice = common.cut(prints.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    spots = common.join_back(prints, twice, "gram").groupBy("place").agg(F.collect_set("first").alias("spots"))
+    runs = docs.drop("prints").dropDuplicates(["place"]).join(spots, "place").mapInArrow(_extend(gram_words, run_words), f"key binary, place {PLACE}, range long")
     runs = common.cut(runs, "runs")
-    place = F.struct("ord", "h", "first", "last")
-    firsts = runs.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("f")).filter("n > 1")
-    firsts = common.cut(firsts.select("key", "n", F.col("f.ord").alias("f_ord"), F.col("f.h").alias("f_h"), F.col("f.last").alias("f_last")), "firsts")
-    same = (F.col("ord") == F.col("f_ord")) & (F.col("h") == F.col("f_h"))
-    later = F.struct("ord", "h") > F.struct("f_ord", "f_h")
-    repeats = common.join_back(runs, firsts, "key").filter(later | same & (F.col("first") > F.col("f_last")))
-    ranges = repeats.groupBy("ord", "h").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    return common.cut(ranges.mapInArrow(_merge, "ord long, h long, ranges array<struct<start:int,end:int>>"), "ranges")
+    keyed = runs.filter("key is not null")
+    firsts = common.cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("place").alias("low")).filter("n > 1"), "firsts")
+    later = common.join_back(keyed, firsts, "key").filter("place > low").select("place", "range")
+    repeats = later.unionByName(runs.filter("key is null").select("place", "range"))
+    ranges = repeats.groupBy("place").agg(F.array_sort(F.collect_set("range")).alias("ranges"))
+    return common.cut(ranges.mapInArrow(_merge, f"place {PLACE}, ranges array<struct<start:int,end:int>>"), "ranges")
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -210,12 +222,13 @@ def removed_column(documents: DataFrame) -> str:
 def dedup_lines(documents: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, all columns, with the text without its later repeated runs, and ``removed_column`` (array of [start, end) ranges of pieces, empty if none)."""
     common.small_batches(documents.sparkSession)
-    ord_, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), common.text_of(text_col)
-    runs = repeated_runs(documents.select(ord_.alias("ord"), F.xxhash64(text).alias("h"), text.alias("text")), gram_words, run_words)
+    text = common.text_of(text_col)
+    place = place_of(F.col(id_col), text)
+    runs = repeated_runs(documents.select(place.alias("place"), text.alias("text")), gram_words, run_words)
     held = runs.agg(F.coalesce(F.sum(F.size("ranges") + 4), F.lit(0))).first()[0]
-    o, h, r = (common.fresh(documents, x) for x in ("_ord", "_h", "_ranges"))
-    runs = runs.select(F.col("ord").alias(o), F.col("h").alias(h), F.col("ranges").alias(r))
-    joined = documents.join(F.broadcast(runs) if held <= BROADCAST_RANGES else runs, (ord_ == F.col(o)) & (F.xxhash64(text) == F.col(h)), "left")
+    p, r = common.fresh(documents, "_place"), common.fresh(documents, "_ranges")
+    runs = runs.select(F.col("place").alias(p), F.col("ranges").alias(r))
+    joined = documents.join(F.broadcast(runs) if held <= BROADCAST_RANGES else runs, place == F.col(p), "left")
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -224,14 +237,14 @@ def dedup_lines(documents: DataFrame, gram_words: int = GRAM_WORDS, run_words: i
     touched = F.col(r).isNotNull()
     clean = cleaned(F.when(touched, F.col(text_col)), F.col(r)["start"], F.col(r)["end"])
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return joined.withColumn(text_col, F.when(touched, clean).otherwise(F.col(text_col))).withColumn(removed_column(documents), F.coalesce(F.col(r), none)).drop(o, h, r)
+    return joined.withColumn(text_col, F.when(touched, clean).otherwise(F.col(text_col))).withColumn(removed_column(documents), F.coalesce(F.col(r), none)).drop(p, r)
 
 
 def query(spark, sf_dir) -> DataFrame:
-    """doc_id, the text that stays, its pieces before and how many of them went, and the ranges that went."""
+    """doc_id, the text that stays, its lines before, how many pieces went, and the ranges that went."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    cuts = F.size(F.split(common.text_of(), r"(?<=\n)|(?<=[.!?] )", -1)).cast("long")
-    after = dedup_lines(docs.withColumn("n_pieces", cuts))
+    before = docs.withColumn("n_lines", (F.length(common.text_of()) - F.length(F.translate(common.text_of(), "\n", "")) + 1).cast("long"))
+    after = dedup_lines(before)
     ranges = F.array_join(F.transform("_lines_removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
     gone = F.aggregate("_lines_removed", F.lit(0), lambda n, r: n + r["end"] - r["start"])
-    return after.select("doc_id", "text", "n_pieces", gone.cast("long").alias("n_removed"), ranges.alias("removed"))
+    return after.select("doc_id", "text", "n_lines", gone.cast("long").alias("n_removed"), ranges.alias("removed"))
