@@ -48,7 +48,7 @@ from docquarry.llm import common, subwords
 
 HELD_OUT = (5, 1)
 HEAD = 1 << 19
-CACHE = 150_000
+CACHE = 400_000
 
 VOCAB = subwords.SIZE
 MARK = VOCAB - 1  # stands before the first and after the last subword
@@ -194,7 +194,7 @@ def train_step(w: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, seen: n
     The gradient of "e" is that of the given rows only.
     """
     kind, ids = w["e"].dtype, x.ravel()
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")  # radix sort
     ordered = ids[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     flat = lambda a: a.reshape(-1, a.shape[-1])
@@ -204,7 +204,8 @@ def train_step(w: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, seen: n
     wq, wkv = w["q"] * kind.type(1 / math.sqrt(KEY)), np.hstack([w["k"], w["v"]])
     q, kv = shaped(late @ wq, STRIDE), shaped(e @ wkv, WINDOW)
     k, v = kv[:, :, :KEY], kv[:, :, KEY:]
-    p = q @ k.transpose(0, 2, 1)
+    turned = np.ascontiguousarray(kv.transpose(0, 2, 1))
+    p = q @ turned[:, :KEY]
     np.clip(p, -30, 30, out=p)
     np.exp(p, out=p)
     p *= DECAY  # distance bias and causal mask at once
@@ -219,13 +220,13 @@ def train_step(w: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, seen: n
     z *= (mass / total)[:, None]
     z[at] -= mass  # z is now the gradient of the scores
     do = shaped(z @ w["u"].T, STRIDE)
-    ds = do @ v.transpose(0, 2, 1)
+    ds = do @ turned[:, KEY:]
     ds -= shaped(np.einsum("ij,ij->i", o, flat(do)), STRIDE)
     ds *= p
     dq, dkv = flat(ds @ k), flat(np.concatenate([ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ do], 2))
     each = shaped(dkv @ wkv.T, WINDOW)
     each[:, CONTEXT:] += shaped(dq @ wq.T, STRIDE)
-    de = np.add.reduceat(flat(each).take(order, 0), starts, 0)
+    de = np.add.reduceat(np.ascontiguousarray(flat(each).take(order, 0).T), starts, 1).T
     gkv = e.T @ dkv
     return loss, {"e": de, "q": late.T @ dq * kind.type(1 / math.sqrt(KEY)), "k": gkv[:, :KEY], "v": gkv[:, KEY:], "u": o.T @ z}, ordered[starts]
 
@@ -372,6 +373,7 @@ def _count_pairs(texts: DataFrame, classes: np.ndarray) -> np.ndarray:
 
 
 NAMES = ("e", "q", "k", "v", "u")
+SMALL = NAMES[1:]
 
 
 class Trainer:
@@ -379,8 +381,13 @@ class Trainer:
 
     def __init__(self, weights: dict, classes: np.ndarray, table: np.ndarray):
         self.start, self.classes, self.table = weights, classes, table
-        self.w = {n: a.copy() for n, a in weights.items()}
-        self.m, self.v = ({n: np.zeros_like(a) for n, a in weights.items()} for _ in range(2))
+        # the small weights are views of one array, updated at once
+        flat, self.w, at = np.concatenate([weights[n].ravel() for n in SMALL]), {"e": weights["e"].copy()}, 0
+        for n in SMALL:
+            self.w[n] = flat[at : at + weights[n].size].reshape(weights[n].shape)
+            at += weights[n].size
+        self.flat, self.m, self.v = flat, np.zeros_like(flat), np.zeros_like(flat)
+        self.rows = np.zeros((2, *weights["e"].shape), np.float32)  # both moments of "e"
         self.met, self.done, self.windows, self.pool, self.waiting = np.zeros(VOCAB, np.float32), 0, 0, [], 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -399,11 +406,15 @@ class Trainer:
         _, g, rows = train_step(self.w, self.table, x, self.classes[y], seen)
         self.done += 1
         self.met[rows] += 1
-        for n in NAMES:  # a row of "e" counts the steps that met it
-            at, k = (rows, self.met[rows][:, None]) if n == "e" else (slice(None), np.float32(self.done))
-            self.m[n][at] = m = 0.9 * self.m[n][at] + 0.1 * g[n]
-            self.v[n][at] = v = 0.99 * self.v[n][at] + 0.01 * g[n] * g[n]
-            self.w[n][at] -= (RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)).astype(np.float32)
+        small = np.concatenate([g[n].ravel() for n in SMALL])
+        self.m += 0.1 * (small - self.m)
+        self.v += 0.01 * (small * small - self.v)
+        self.flat -= RATE / (1 - 0.9**self.done) * self.m / (np.sqrt(self.v / (1 - 0.99**self.done)) + 1e-6)
+        k, (m, v) = self.met[rows][:, None], self.rows.take(rows, 1)  # a row of "e" counts the steps that met it
+        m += 0.1 * (g["e"] - m)
+        v += 0.01 * (g["e"] * g["e"] - v)
+        self.rows[0, rows], self.rows[1, rows] = m, v
+        self.w["e"][rows] -= (RATE / (1 - 0.9**k)) * m / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
 
     def changes(self) -> np.ndarray:
         """Changes of "e" times the steps that met a row, of the rest times windows; then these counts."""

@@ -98,6 +98,25 @@ def test_base_equals_brute_force_and_training_helps(spark):
     assert {g.doc_id: g.n_subwords for g in got} == {d: len(encode(t)) + 1 for d, t in rows}
 
 
+def test_weights_do_not_hang_on_partitions_and_held_out_texts_gain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 3000").select("doc_id", "text")
+    few, many, untrained = ({g.doc_id: g for g in lm.score_documents(docs.repartition(n), rounds=k).collect()} for n, k in ((4, lm.ROUNDS), (32, lm.ROUNDS), (4, 0)))
+    assert all(abs(few[d].score - many[d].score) <= 1e-9 * abs(few[d].score) for d in few)
+    held = [d for d, g in few.items() if g.held_out]
+    per = lambda got: sum(got[d].score for d in held) / sum(got[d].n_subwords for d in held)
+    assert per(few) > per(untrained) + 0.05  # log10 a subword
+
+
+def test_held_out_texts_gain_over_the_table_alone(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 3000").select("doc_id", "text")
+    got = lm.score_documents(docs).filter("held_out").collect()
+    fresh = lm.fresh_weights
+    monkeypatch.setattr(lm, "fresh_weights", lambda: {n: a * (n != "u") for n, a in fresh().items()})
+    alone = lm.score_documents(docs, rounds=0).filter("held_out").collect()
+    n = sum(g.n_subwords for g in got)
+    assert sum(g.score for g in got) / n > sum(g.score for g in alone) / n + 0.05
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (1, ""), (None, "a b"), (2, "x " * 20_000), (6, "The THE the"), (6, "The THE the")]
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, score int")
