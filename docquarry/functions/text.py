@@ -19,13 +19,18 @@ HEADING_BELOW = 150
 _WS = r"[\s\x1c-\x1f]"
 
 
+#: Characters that composition may change: all from U+0300 on but Vietnamese letters, dashes, quotes and Han.
+_MAY_COMPOSE = r"[\u0300-\u1e9f\u1efa-\u200f\u2028-\u33ff\uac00-\uffff\x{10000}-\x{10ffff}]"
+
+
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition; run once at ingest, in Arrow batches."""
-    return F.pandas_udf(_compose, "string")(text)
+    """Canonical composition, in Arrow batches; only texts that may need it are sent there."""
+    needs = text.rlike(_MAY_COMPOSE)
+    return F.when(needs, F.pandas_udf(_compose, "string")(F.when(needs, text))).otherwise(text)
 
 
 def strip(text: Column) -> Column:
@@ -38,18 +43,18 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, rf"(?U){_WS}+", " "))
 
 
-def normalize_text(text: Column, composed: bool = True) -> Column:
+def normalize_text(text: Column, composed: bool = False) -> Column:
     """Composed (unless ``composed`` says it is already), collapsed and stripped."""
     return collapse(text if composed else nfc(text))
 
 
-def normalize_lower(text: Column, composed: bool = True) -> Column:
+def normalize_lower(text: Column, composed: bool = False) -> Column:
     return F.lower(normalize_text(text.cast("string"), composed))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and underscores of composed text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+def tokens(text: Column, composed: bool = False) -> Column:
+    """Lower-case runs of letters, digits and underscores of the composed text."""
+    return F.regexp_extract_all(F.lower(text if composed else nfc(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def is_structure_line(line: Column) -> Column:
@@ -164,6 +169,7 @@ def shown_number(value: Column, digits: int = 4) -> Column:
     return F.coalesce(F.format_number(value, digits), F.lit("-"))
 
 
-def retrieval_seconds(timing: Column, total: str = "total") -> Column:
-    """Seconds from a struct of timings."""
-    return timing[total].cast("double")
+def retrieval_seconds(timing: Column, stage: str = "retrieval", total: str = "total") -> Column:
+    """Seconds of a stage from a struct or map of timings, where the stage is a number or has a total itself; else null."""
+    told = F.to_json(timing)
+    return F.coalesce(F.get_json_object(told, f"$.{stage}.{total}"), F.get_json_object(told, f"$.{stage}")).try_cast("double")

@@ -45,7 +45,7 @@ def fixed_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
 def page_ranges(pages: DataFrame) -> DataFrame:
     """(document_id, page, start, end) in the global document, where one newline follows each page."""
     before = Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
+    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")
     return pages.select("document_id", "page", start.alias("start"), (start + F.length("text")).alias("end"))
 
 
@@ -62,8 +62,8 @@ def position_to_page(positions: DataFrame, ranges: DataFrame, position: str = "p
     one sort, and the last start seen is carried on, so no pairs arise.
     """
     marks = ranges.select("document_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("start").alias("_s"), F.col("page").alias("_p")).alias("_mark"), F.lit(None).cast(positions.select(F.struct(*positions.columns).alias("r")).schema["r"].dataType).alias("_row"))
-    asks = positions.select("document_id", F.col(position).cast("int").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<_s:int,_p:int>").alias("_mark"), F.struct(*positions.columns).alias("_row"))
+    asks = positions.select("document_id", F.col(position).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<_s:long,_p:int>").alias("_mark"), F.struct(*positions.columns).alias("_row"))
     order = Window.partitionBy("document_id").orderBy("_at", "_kind", F.col("_mark._p"))
-    found = marks.select("document_id", "_at", "_kind", F.col("_mark").cast("struct<_s:int,_p:int>").alias("_mark"), "_row").unionByName(asks)
+    found = marks.select("document_id", "_at", "_kind", F.col("_mark").cast("struct<_s:long,_p:int>").alias("_mark"), "_row").unionByName(asks)
     found = found.withColumn("_last", F.last("_mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return found.filter("_kind = 1").select("_row.*", F.col("_last._p").alias(out))

@@ -10,27 +10,25 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import vectors as vx
 from docquarry.operators.bm25 import top
+from docquarry.sources import scratch
 
 TOP_K = 20
 DIGITS = 6
-#: Query vectors are sent to all executors in blocks of so many.
-BLOCK = 256
 
 
 def scores(index: DataFrame, queries: DataFrame, embedding: str = "embedding", vector: str = "query_vector") -> DataFrame:
     """(qid, chunk_id, score) of all pairs; queries are (qid, vector), a stated set.
 
-    The vectors of a block ride in one array column that each index row is
-    scored against, so the index is read in place and never shuffled.
+    The vectors ride in one array column that each index row is scored against,
+    so the index is read in place and never shuffled; vectors of more than
+    ``scratch.BROADCAST_BYTES`` together go in parts, one scan each.
     """
     found = None
-    rows = [(r["qid"], [float(x) for x in r[vector]]) for r in queries.select("qid", vector).toLocalIterator()]
-    kind = queries.schema["qid"].dataType.simpleString()
-    for i in range(0, max(1, len(rows)), BLOCK):
-        block = index.sparkSession.createDataFrame([(rows[i : i + BLOCK],)], f"_q array<struct<qid:{kind},v:array<double>>>")
-        part = index.select("chunk_id", F.col(embedding).alias("_e")).join(F.broadcast(block)).select("chunk_id", "_e", F.explode("_q").alias("q"))
-        part = part.select(F.col("q.qid").alias("qid"), "chunk_id", F.round(vx.dot(F.col("_e"), F.col("q.v")), DIGITS).alias("score"))
-        found = part if found is None else found.unionByName(part)
+    for part in scratch.in_parts(queries.select("qid", F.col(vector).alias("v")), "qid", F.size("v") * 8 + 16):
+        block = part.agg(F.collect_list(F.struct("qid", F.col("v").cast("array<double>").alias("v"))).alias("_q"))
+        met = index.select("chunk_id", F.col(embedding).alias("_e")).join(F.broadcast(block)).select("chunk_id", "_e", F.explode("_q").alias("q"))
+        met = met.select(F.col("q.qid").alias("qid"), "chunk_id", F.round(vx.dot(F.col("_e"), F.col("q.v")), DIGITS).alias("score"))
+        found = met if found is None else found.unionByName(met)
     return found
 
 
@@ -41,20 +39,30 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, embedding: str
     return top(scores(index, queries, embedding, vector), k)
 
 
+def scores_of(index: DataFrame, queries: DataFrame, allowed: DataFrame, embedding: str = "embedding", vector: str = "query_vector") -> DataFrame:
+    """(qid, chunk_id, score) of the allowed (qid, chunk_id) only."""
+    # the pairs with the queries' vectors first, so each index row meets its own pairs only
+    asked = allowed.select("qid", "chunk_id").join(scratch.bounded(queries.select("qid", vector), scratch.BROADCAST_BYTES // (8 * vx.DIMENSION)), "qid")
+    return index.join(asked, "chunk_id").select("qid", "chunk_id", F.round(vx.dot(F.col(embedding), F.col(vector)), DIGITS).alias("score"))
+
+
 def search_filtered(index: DataFrame, queries: DataFrame, allowed: DataFrame, k: int = TOP_K, embedding: str = "embedding", vector: str = "query_vector") -> DataFrame:
     """Search among the allowed (qid, chunk_id) only; a query without any gets no row."""
-    kept = index.join(allowed, "chunk_id").join(F.broadcast(queries.select("qid", vector)), "qid")
-    return top(kept.select("qid", "chunk_id", F.round(vx.dot(F.col(embedding), F.col(vector)), DIGITS).alias("score")), k)
+    return top(scores_of(index, queries, allowed, embedding, vector), k)
 
 
-def encode_questions(questions: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, text: str = "question") -> DataFrame:
-    """Adds query_vector; a blank question is an error when the plan runs."""
+def encode_questions(questions: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, text: str = "question", dimension: int | None = None) -> DataFrame:
+    """Adds query_vector; a blank question, or a vector of another dimension than the index has, is an error when the plan runs."""
     checked = questions.withColumn(text, F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.raise_error(F.lit("blank question"))).otherwise(F.col(text)))
-    return vx.encode(checked, text, encoder, "query_vector")
+    out = vx.encode(checked, text, encoder, "query_vector")
+    if dimension is None:
+        return out
+    wrong = F.raise_error(F.concat(F.lit(f"query vector has not {dimension} numbers but "), F.size("query_vector").cast("string")))
+    return out.withColumn("query_vector", F.when(F.size("query_vector") == dimension, F.col("query_vector")).otherwise(wrong))
 
 
-def check_index(index: DataFrame, tolerance: float = 1e-4, dimension: int | None = None) -> DataFrame:
-    """check_embeddings plus unique chunk ids and vector_index 0 .. N-1 without gaps, where that column exists."""
+def check_index(index: DataFrame, tolerance: float = 1e-4, dimension: int | None = None, strict: bool = False) -> DataFrame:
+    """check_embeddings plus unique chunk ids and vector_index 0 .. N-1 without gaps, where that column exists; ``strict`` makes a failed check an error."""
     checked = vx.check_embeddings(index, tolerance=tolerance, dimension=dimension)
     ids = [F.count_distinct("chunk_id").alias("n_ids"), F.count("*").alias("n")]
     gapless = F.lit(True)
@@ -62,4 +70,5 @@ def check_index(index: DataFrame, tolerance: float = 1e-4, dimension: int | None
         ids += [F.min("vector_index").alias("low"), F.max("vector_index").alias("high"), F.count_distinct("vector_index").alias("n_index")]
         gapless = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("n_index") == F.col("n"))
     found = index.agg(*ids)
-    return checked.join(F.broadcast(found.select(F.col("n_ids") == F.col("n"), gapless).toDF("unique_ids", "index_gapless"))).withColumn("ok", F.col("ok") & F.col("unique_ids") & F.col("index_gapless"))
+    out = checked.join(F.broadcast(found.select(F.col("n_ids") == F.col("n"), gapless).toDF("unique_ids", "index_gapless"))).withColumn("ok", F.col("ok") & F.col("unique_ids") & F.col("index_gapless"))
+    return out.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(F.concat(F.lit("index check failed: "), F.to_json(F.struct(*out.columns)))))) if strict else out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import text as tx
+from docquarry.sources import scratch
 
 RRF_K, FINAL_K = 60, 5
 NEVER = 10**9
@@ -56,12 +57,18 @@ def hard_filter(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 def entity_matches(entities: DataFrame, chunks: DataFrame) -> DataFrame:
     """(entity, chunk_id): normalized chunk text contains the normalized entity.
 
-    Entities are few (a fixed dictionary, or those of a batch of questions);
-    they ride in one broadcast array, and each chunk is searched once for all.
+    Entities ride in one broadcast array, and each chunk is searched once for
+    all of them; entities of more than ``scratch.BROADCAST_BYTES`` together go
+    in parts, one scan each.
     """
-    listed = entities.select("entity").distinct().agg(F.collect_list(F.struct("entity", tx.normalize_lower(F.col("entity")).alias("n"))).alias("_e"))
-    own = chunks.select("chunk_id", tx.normalize_lower(F.coalesce("text", F.lit(""))).alias("_t")).join(F.broadcast(listed))
-    return own.select("chunk_id", F.explode(F.filter("_e", lambda e: F.contains(F.col("_t"), e["n"]))).alias("e")).select(F.col("e.entity").alias("entity"), "chunk_id")
+    found = None
+    listed = entities.select("entity").distinct().withColumn("n", tx.normalize_lower(F.col("entity")))
+    for part in scratch.in_parts(listed, "entity", F.length("entity") * 8 + 64):
+        own = chunks.select("chunk_id", tx.normalize_lower(F.coalesce("text", F.lit(""))).alias("_t"))
+        own = own.join(F.broadcast(part.agg(F.collect_list(F.struct("entity", "n")).alias("_e"))))
+        own = own.select("chunk_id", F.explode(F.filter("_e", lambda e: F.contains(F.col("_t"), e["n"]))).alias("e")).select(F.col("e.entity").alias("entity"), "chunk_id")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def soft_entities(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, dense_scores: DataFrame, budget: str = "candidate_top_k") -> DataFrame:

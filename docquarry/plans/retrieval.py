@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import vectors as vx
 from docquarry.operators import answer as an
 from docquarry.operators import bm25, dense, fusion, router
+from docquarry.sources import scratch
 
 SOURCE_K = 20
 
@@ -39,17 +40,19 @@ def routed_retrieval(corpus: Corpus, questions: DataFrame, encoder=None) -> Data
     and those with entities get the best chunk of each missing one.
     """
     routed = dense.encode_questions(router.route(questions), encoder)
-    routed = routed.persist()
+    routed = scratch.cut(routed, "routed")
     hard, rest = routed.filter("filter_strategy = 'hard'"), routed.filter("filter_strategy <> 'hard'")
     widest = router.MULTI_K
     found = fusion.fuse(dense.search(corpus.chunks, rest, widest), bm25.search(corpus.index, rest, widest), widest)
     if {"article_number", "clause"} <= set(corpus.chunks.columns):
-        allowed = fusion.hard_filter(hard, corpus.chunks).persist()
+        allowed = scratch.cut(fusion.hard_filter(hard, corpus.chunks), "allowed")
         found = found.unionByName(fusion.fuse(dense.search_filtered(corpus.chunks, hard, allowed.select("qid", "chunk_id"), widest), bm25.search_filtered(corpus.index, hard, allowed, widest), widest))
     limits = routed.select("qid", "candidate_top_k")
-    found = found.join(F.broadcast(limits), "qid").filter(F.col("rank") <= F.col("candidate_top_k")).drop("candidate_top_k")
+    found = found.join(scratch.bounded(limits), "qid").filter(F.col("rank") <= F.col("candidate_top_k")).drop("candidate_top_k")
     soft = routed.filter("filter_strategy = 'soft'")
-    scored = dense.scores(corpus.chunks, soft)
+    listed = soft.select("qid", F.explode("entities").alias("entity"))
+    holding = scratch.cut(listed.join(fusion.entity_matches(listed, corpus.chunks), "entity").select("qid", "chunk_id").distinct(), "holding")
+    scored = dense.scores_of(corpus.chunks, soft, holding)
     changed = fusion.soft_entities(found.join(soft.select("qid"), "qid", "left_semi"), soft, corpus.chunks, scored)
     plain = found.join(soft.select("qid"), "qid", "left_anti").withColumn("routing_added", F.lit(False)).withColumn("routing_reason", F.lit(None).cast("string"))
     return plain.unionByName(changed)
@@ -59,7 +62,7 @@ def ask(corpus: Corpus, questions: DataFrame, generator=None, enable_generation:
     """Answers for a batch (qid, question)."""
     candidates = routed_retrieval(corpus, questions, encoder)
     columns = [c for c in ("chunk_id", "text", "article_number", "clause", "page_start", "page_end") if c in corpus.chunks.columns]
-    rich = candidates.join(corpus.chunks.select(*columns), "chunk_id").join(F.broadcast(questions.select("qid", "question")), "qid")
+    rich = candidates.join(corpus.chunks.select(*columns), "chunk_id").join(questions.select("qid", "question"), "qid")
     for c in ("article_number", "clause", "page_start", "page_end"):
         if c not in columns:
             rich = rich.withColumn(c, F.lit(None).cast("string"))

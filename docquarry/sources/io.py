@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docquarry.sources import scratch
+
 PAGES_RAW = "document_id string, page int, text string, char_count int"
 PAGES_CLEAN = "document_id string, page int, text string, raw_char_count int, clean_char_count int"
 CHUNKS_FIXED = "chunk_id string, document_id string, page int, chunk_index int, start_char int, end_char int, char_count int, text string"
 CHUNKS_STRUCTURED = (
     "chunk_id string, document_id string, chapter string, article_number string, article_title string, clause string,"
-    " piece_index int, page_start int, page_end int, source_start int, source_end int, char_count int, text string"
+    " piece_index int, page_start int, page_end int, source_start long, source_end long, char_count int, text string"
 )
 GOLD_ARTICLES = "question_id string, question string, gold_articles array<int>, difficulty string, language string"
 GOLD_SPANS = "question_id string, question string, evidence_anchors array<string>, difficulty string, language string"
@@ -67,7 +69,7 @@ def with_vector_index(chunks: DataFrame, *order: str) -> DataFrame:
     """
     keys = order or ("chunk_id",)
     parts = chunks.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    parts = parts.persist()  # both uses below must see the same ranges
+    parts = scratch.cut(parts, "ranges")  # both uses below must see the same ranges
     local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1)
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")  # one row a partition
