@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.functions.scan import let, running  # noqa: F401
+from docquarry.sources.scratch import cut, drop_scratch, shared_dir  # noqa: F401
 from docquarry.sources.session import ship
 
 #: ASCII white space: space and 0x09 to 0x0D; everything else belongs to a word.
@@ -23,44 +23,12 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows from which a join key is hot, hot keys that may be broadcast, and copies of a key beyond.
 HOT, HOT_KEYS, SALTS = 1000, 200_000, 16
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test-data table; all reads go through Spark's reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where the setting is absent, a local master gets a temporary folder and any
-    other master a folder under the warehouse.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="docquarry-")
-        else:
-            _own_dirs[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_docquarry"
-    return _own_dirs[app]
-
-
-def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The plan above it starts from files, so a lost executor costs a re-read and
-    never a recomputation, and values that depend on task placement are frozen.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docquarry-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 256, size: str = "4m") -> None:
     """Bound what one Arrow batch holds, so very long texts do not pile up in a Python worker."""
     ship(spark)
@@ -73,11 +41,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, also where the optimiser merges projections."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
@@ -158,9 +121,3 @@ def add_up(rows: DataFrame, size: int, kind) -> np.ndarray:
         got = np.frombuffer(zlib.decompress(r.packed), wide)
         out[r.block * BLOCK : r.block * BLOCK + len(got)] = got
     return out
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove the tables that ``cut`` has written for this application; results read from them must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docquarry-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from docquarry.llm import common
 
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
-PIECE = 64
 
 _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
 ASSIGN = rf"(?i:password|passwd|secret|token|api_?key){_VALUE}([A-Za-z0-9+/_.=-]+)"
@@ -42,31 +41,6 @@ _SPAN = "array<struct<start:int,end:int,long:int>>"
 SCHEMA_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,weak:boolean>>"
 
 
-def running(values: Column, first: Column, step) -> Column:
-    """[step(first, v0), step(that, v1), ...].
-
-    A fold copies what it carries at each step, so only the states before each
-    ``PIECE`` values are carried through; each piece is then gone through alone.
-    """
-    none = F.filter(F.array(first), lambda _: F.lit(False))
-
-    def pieces(every: Column, starts: Column) -> Column:
-        def pass_by(acc: Column, at: Column) -> Column:
-            return F.struct(F.aggregate(F.slice(every, at, F.lit(PIECE)), acc["state"], step).alias("state"), F.array_append(acc["before"], acc["state"]).alias("before"))
-
-        def one(a: Column, v: Column) -> Column:
-            new = step(a["state"], v)
-            return F.struct(new.alias("state"), F.array_append(a["own"], new).alias("own"))
-
-        before = F.aggregate(starts, F.struct(first.alias("state"), none.alias("before")), pass_by, lambda a: a["before"])
-        return F.flatten(F.zip_with(starts, before, lambda at, state: F.aggregate(F.slice(every, at, F.lit(PIECE)), F.struct(state.alias("state"), none.alias("own")), one, lambda a: a["own"])))
-
-    def walk(every: Column) -> Column:
-        return F.when(F.size(every) > 0, common.let(F.sequence(F.lit(1), F.size(every), F.lit(PIECE)), lambda starts: pieces(every, starts))).otherwise(none)
-
-    return common.let(values, walk)
-
-
 def _matches(df: DataFrame, name: str, pattern: str, when: Column, length_group: int = 0) -> DataFrame:
     """Adds the array ``name`` of (start, end, long) of the pattern's matches in ``_text``; long: length of a group."""
     found, none = f"_{name}_m", F.array().cast(_SPAN)
@@ -76,7 +50,7 @@ def _matches(df: DataFrame, name: str, pattern: str, when: Column, length_group:
     group = lengths(F.regexp_extract_all("_text", F.lit(pattern), F.lit(length_group))) if length_group else own
 
     def spans(m: Column, p: Column, g: Column) -> Column:
-        ends = running(F.zip_with(m, F.slice(p, F.lit(1), F.size(m)), lambda x, y: x + y), F.lit(0), lambda at, n: at + n)
+        ends = common.running(F.zip_with(m, F.slice(p, F.lit(1), F.size(m)), lambda x, y: x + y), F.lit(0), lambda at, n: at + n)
         return F.zip_with(ends, F.zip_with(m, g, lambda x, y: F.struct(x.alias("m"), y.alias("g"))), lambda e, x: F.struct((e - x["m"]).alias("start"), e.alias("end"), x["g"].alias("long")))
 
     walk = common.let(own, lambda m: common.let(between, lambda p: common.let(group, lambda g: spans(m, p, g))))
@@ -132,7 +106,7 @@ def _linked(roles: dict[str, Column], scopes: Column) -> Column:
         tagged = lambda x: F.struct(x["e"]["at"].alias("start"), x["e"]["rank"].alias("rank"), x["e"]["kind"].alias("kind"), x["e"]["end"].alias("end"), F.lit(True).alias("weak"))
         return F.transform(F.filter(both, stays), tagged)
 
-    passes = lambda ev: common.let(running(ev, begin(-1, FAR), forwards), lambda f: common.let(F.reverse(running(F.reverse(ev), begin(FAR, -1), backwards)), lambda b: chosen(ev, f, b)))
+    passes = lambda ev: common.let(common.running(ev, begin(-1, FAR), forwards), lambda f: common.let(F.reverse(common.running(F.reverse(ev), begin(FAR, -1), backwards)), lambda b: chosen(ev, f, b)))
     return common.let(F.array_sort(F.concat(*every)), passes)
 
 
