@@ -166,7 +166,7 @@ def candidate_text(metadata_text: Column, text: Column) -> Column:
 
 
 def shown_number(value: Column, digits: int = 4) -> Column:
-    return F.coalesce(F.format_number(value, digits), F.lit("-"))
+    return F.when(value.isNull(), F.lit("-")).otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
 
 
 def retrieval_seconds(timing: Column, stage: str = "retrieval", total: str = "total") -> Column:

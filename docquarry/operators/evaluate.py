@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import text as tx
 from docquarry.operators import chunking, structure
+from docquarry.sources import io, scratch
 
 K = 5
 ARTICLE_OVERLAP = 30
@@ -70,6 +73,28 @@ def anchor_pattern(anchor: Column) -> Column:
     return F.concat(F.lit("(?U)"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), r"\s+"))
 
 
+def candidate_documents(documents: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(document_id, *anchors) of the documents that hold the anchor's words in a row; anchors: (question_id, anchor).
+
+    Anchors meet documents on a hash of their second to fourth word, and the
+    text is compared only there; anchors of fewer than five words, which have
+    no such key, are looked for in every text, sent in parts of bounded size.
+    """
+    split = lambda t: F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
+    w = F.col("_w")
+    asked = anchors.withColumn("_w", split(F.col("anchor")))
+    keyed = asked.filter(F.size("_w") >= 5).withColumn("_k", F.xxhash64(w[1], w[2], w[3])).drop("_w")
+    spread = documents.select("document_id", split(F.col("full_text")).alias("_w")).filter(F.size("_w") >= 3)
+    spread = spread.select("document_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))).alias("_k"))
+    pairs = spread.join(scratch.bounded(keyed.select("question_id", "_k")), "_k").select("document_id", "question_id").distinct()
+    held = pairs.join(anchors, "question_id").join(documents, "document_id").filter(F.contains("full_text", F.col("anchor"))).select("document_id", *anchors.columns)
+    few = asked.filter(F.size("_w") < 5).drop("_w")
+    for part in scratch.in_parts(few, "question_id", F.length("anchor") * 4 + 64) if not few.isEmpty() else []:
+        met = documents.join(F.broadcast(part), F.contains("full_text", F.col("anchor"))).select("document_id", *anchors.columns)
+        held = held.unionByName(met)
+    return held
+
+
 def locate_evidence(documents: DataFrame, anchors: DataFrame, strict: bool = False) -> DataFrame:
     """(question_id, evidence_id, document_id, text, start, end, length) of anchors that match exactly once.
 
@@ -158,13 +183,56 @@ def failures(rows: DataFrame) -> DataFrame:
     return rows.filter(~((F.col("evidence_recall") >= 1) & (F.col("mrr") >= 1)))
 
 
-def markdown_report(means: DataFrame, label: str) -> DataFrame:
-    """One row of text: a table of (label, metric means)."""
+def _table(rows: DataFrame, columns: dict[str, Column], order: str) -> DataFrame:
+    """One row with ``t``, a markdown table of the named columns, by ``order``."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *columns.values()), F.lit(" |"))
+    made = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
+    return made.select(F.concat(F.lit("| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"), F.col("t")).alias("t"))
+
+
+def markdown_report(means: DataFrame, label: str, a: DataFrame | None = None, b: DataFrame | None = None) -> DataFrame:
+    """One row of text: metric means by ``label`` and, for the per-question rows of two systems, deltas, wins, ties and losses of b, and each question."""
+    shown = lambda m: F.format_string("%.4f", F.col(m))
     names = [m for m in METRICS if m in means.columns]
-    line = F.concat(F.lit("| "), F.col(label), F.lit(" | "), F.array_join(F.array(*(F.format_string("%.4f", F.col(m)) for m in names)), " | "), F.lit(" |"))
-    rows = means.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("rows"))
-    head = f"| {label} | " + " | ".join(names) + " |\n|" + "---|" * (len(names) + 1) + "\n"
-    return rows.select(F.concat(F.lit(head), F.col("rows")).alias("report"))
+    parts = [("Means", _table(means, {label: F.col(label)} | {m: shown(m) for m in names}, label))]
+    if a is not None:
+        stack = F.explode(F.create_map(*(x for m in names for x in (F.lit(m), F.col(m))))).alias("metric", "delta")
+        parts.append(("Deltas", _table(deltas(a, b).select(stack), {"metric": F.col("metric"), "delta": F.format_string("%+.4f", F.col("delta"))}, "metric")))
+        parts.append(("Wins, ties and losses", _table(win_tie_loss(a, b), {c: F.col(c).cast("string") for c in ("metric", "wins", "ties", "losses")}, "metric")))
+        both = a.select("question_id", *(F.col(m).alias(f"a_{m}") for m in names)).join(b, "question_id")
+        parts.append(("Questions", _table(both, {"question": F.col("question_id").cast("string")} | {m: F.concat_ws(" / ", shown(f"a_{m}"), shown(m)) for m in names}, "question_id")))
+    out = None
+    for title, table in parts:
+        made = table.select(F.concat(F.lit(f"## {title}\n\n"), F.col("t")).alias(f"t{title}"))
+        out = made if out is None else out.join(F.broadcast(made))  # one row each
+    return out.select(F.concat_ws("\n\n", *(F.col(f"`t{title}`") for title, _ in parts)).alias("report"))
+
+
+def write_outputs(per_question: DataFrame, summary: DataFrame, path: str, report: DataFrame | None = None) -> None:
+    """Per-question rows and summary as JSON lines, and the report as text, under one folder."""
+    io.write_jsonl(per_question, f"{path}/per_question")
+    io.write_jsonl(summary, f"{path}/summary")
+    if report is not None:
+        io.write_text(report, "report", f"{path}/report")
+
+
+def article_benchmark(pages: DataFrame, chunks: DataFrame, retrieved: DataFrame, questions: DataFrame, k: int = K) -> DataFrame:
+    """Metrics of (question_id, chunk_id, rank) against gold articles: questions (question_id, gold_articles), fixed windows over pages."""
+    gold = gold_chunks(questions, article_spans(pages), chunk_spans(chunks, pages))
+    return score(retrieved, gold, questions, k)
+
+
+def ablation(systems: dict[str, tuple[DataFrame, DataFrame]], evidence: DataFrame, search: Callable[[DataFrame], DataFrame], questions: DataFrame, k: int = K) -> dict[str, DataFrame]:
+    """Per-question metrics of each system, the same questions and evidence against its own chunks.
+
+    systems: name to (chunks, their spans in the document); ``search`` gives
+    (question_id, chunk_id, rank) over chunks.
+    """
+    out = {}
+    for name, (chunks, spans) in systems.items():
+        mapped = evidence_chunks(evidence, spans)
+        out[name] = score(search(chunks), mapped.select("question_id", "chunk_id"), questions, k, mapped)
+    return out
 
 
 def grade_cases(cases: DataFrame, results: DataFrame) -> DataFrame:

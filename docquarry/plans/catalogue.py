@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as tx
 from docquarry.functions import vectors as vx
 from docquarry.operators import answer as an
-from docquarry.operators import bm25, chunking, dense, evaluate, fusion, quality, reflow, router, structure
+from docquarry.operators import bm25, chunking, dense, evaluate, fusion, quality, router
 from docquarry.plans import retrieval
-from docquarry.sources import io
+from docquarry.sources import io, scratch
 from docquarry.sources.session import ship
 
 QUERIES: dict = {}
@@ -131,18 +131,6 @@ def line_kinds(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count_if(tx.is_structure_line(F.col("line"))).alias("n_structure"), F.count_if(tx.is_heading_line(F.col("line"))).alias("n_heading"))
 
 
-@query()
-def page_clean_stats(spark, sf_dir):
-    """Reflow of every document; a fold over merged lines, which SQL cannot express."""
-    pages = _pages(spark, sf_dir).withColumn("char_count", F.length("text"))
-    return reflow.clean_totals(reflow.clean_pages(pages))
-
-
-@query()
-def html_extraction(spark, sf_dir):
-    return io.html_pages(_t(spark, sf_dir, "pages")).select("document_id", "page", "char_count")
-
-
 @query("select doc_id, sha256(coalesce(text, '')) as sha256, length(coalesce(text, ''))::bigint as n from documents")
 def text_hashes(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
@@ -221,14 +209,6 @@ def duplicate_text(spark, sf_dir):
     return chunking.fixed_chunks(_pages(spark, sf_dir)).groupBy("text").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query()
-def structured_chunks(spark, sf_dir):
-    """Articles over pages made from the documents of a source: a heading before every document, clauses before its lines."""
-    heading = F.concat(F.lit("Điều "), (F.col("page") + 1).cast("string"), F.lit(". tiêu đề\n"))
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-    return structure.structured_chunks(_source_pages(spark, sf_dir).withColumn("text", F.concat(heading, numbered))).drop("text")
-
-
 # ---- search -----------------------------------------------------------------
 
 @query(f"with {_POSTINGS} select term, df::bigint as df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) as idf from terms, totals")
@@ -260,7 +240,7 @@ def dense_topk(spark, sf_dir):
 def dense_filtered(spark, sf_dir):
     """Among vectors of the query's label only."""
     index, q = _vectors(spark, sf_dir), _vector_questions(spark, sf_dir)
-    allowed = index.select("chunk_id", F.col("label").alias("qlabel")).join(F.broadcast(q.select("qid", "qlabel")), "qlabel").select("qid", "chunk_id")
+    allowed = index.select("chunk_id", F.col("label").alias("qlabel")).join(scratch.bounded(q.select("qid", "qlabel")), "qlabel").select("qid", "chunk_id")
     return _longs(dense.search_filtered(index.drop("label"), q, allowed).select("qid", "chunk_id", "score", "rank"))
 
 
@@ -297,7 +277,8 @@ def entity_matches(spark, sf_dir):
 
 
 @query("""select count(*)::bigint as n_rows, count(*) filter (where len(embedding) <> 64)::bigint as n_wrong_dimension,
-       round(min(sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) as min_norm, round(max(sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) as max_norm, true as ok from embeddings""")
+       round(min(sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) as min_norm, round(max(sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) as max_norm,
+       bool_and(len(embedding) = 64 and abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) <= 1.01e-3) as ok from embeddings""")
 def vector_check(spark, sf_dir):
     got = vx.check_embeddings(_t(spark, sf_dir, "embeddings"), dimension=64)
     return got.select("n_rows", "n_wrong_dimension", F.round("min_norm", 6).alias("min_norm"), F.round("max_norm", 6).alias("max_norm"), "ok")
@@ -323,14 +304,7 @@ def routed_answers(spark, sf_dir):
   len(list_filter({_TOKENS.format("t")}, lambda w: w in {router.ENGLISH_WORDS!r})) as en from (select doc_id, lower(text) as t from documents))
 select doc_id, case when vi >= 2 then 'vi' when en >= 2 then 'en' else 'unknown' end as language, case when vi >= 2 then round(least(1.0, 0.70 + vi / 20), 4) when en >= 2 then round(least(1.0, 0.65 + en / 20), 4) else 0.5 end::double as confidence from s""")
 def language_detect(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", tx.collapse(F.col("text")).alias("t")).select("doc_id", router.detect_language(F.col("t")).alias("l")).select("doc_id", "l.language", "l.confidence")
-
-
-@query("select 'general' as intent, 'none' as filter_strategy, 20::bigint as candidate_top_k, count(*)::bigint as n from conversations where role = 'user' and trim(text) <> '' having count(*) > 0")
-def route_counts(spark, sf_dir):
-    """Routes of all user turns; the turns hold no Vietnamese, so all are general."""
-    questions = _t(spark, sf_dir, "conversations").filter("role = 'user' and trim(text) <> ''").select("conv_id", F.col("text").alias("question"))
-    return _longs(router.route(questions)).groupBy("intent", "filter_strategy", "candidate_top_k").agg(F.count("*").alias("n"))
+    return _t(spark, sf_dir, "documents").select("doc_id", router.detect_language(F.col("text")).alias("l")).select("doc_id", "l.language", "l.confidence")
 
 
 # ---- guardrail and context --------------------------------------------------
@@ -362,11 +336,11 @@ evidence as (
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
-    """Benchmark items located in the documents that hold them; the items are few and broadcast."""
+    """Benchmark items located in the documents that hold them, written."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("full_text"))
     items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("anchor"))
-    met = docs.join(F.broadcast(items), F.contains("full_text", F.col("anchor"))).withColumn("evidence_id", F.concat_ws("_", "question_id", "document_id"))
-    return evaluate.locate_evidence(docs, met.drop("full_text"))
+    met = evaluate.candidate_documents(docs, items).withColumn("evidence_id", F.concat_ws("_", "question_id", "document_id"))
+    return scratch.cut(evaluate.locate_evidence(docs, met), "evidence")
 
 
 @query(f"with {_EVIDENCE} select question_id, evidence_id, document_id, start::bigint as start, \"end\"::bigint as \"end\", length::bigint as length from evidence")
@@ -379,10 +353,11 @@ mapped as (select distinct question_id, evidence_id, chunk_id from evidence e jo
 
 
 def _mapped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(question_id, evidence_id, chunk_id), written, and the chunks, written."""
     pages = _pages(spark, sf_dir)
-    chunks = chunking.fixed_chunks(pages)
+    chunks = scratch.cut(chunking.fixed_chunks(pages), "chunks")
     spans = evaluate.chunk_spans(chunks, pages)
-    return evaluate.evidence_chunks(_evidence(spark, sf_dir), spans), chunks
+    return scratch.cut(evaluate.evidence_chunks(_evidence(spark, sf_dir), spans), "mapped"), chunks
 
 
 @query(f"with {_EVIDENCE_CHUNKS} select * from mapped")
@@ -405,14 +380,14 @@ def retrieval_metrics(spark, sf_dir):
     """Metrics at 5 of the dense search, with the query's label as relevance."""
     index, q = _vectors(spark, sf_dir), _vector_questions(spark, sf_dir)
     found = dense.search(index, q).withColumnRenamed("qid", "question_id")
-    rel = index.join(F.broadcast(q), F.col("label") == F.col("qlabel")).select(F.col("qid").alias("question_id"), "chunk_id")
+    rel = index.join(scratch.bounded(q.select("qid", "qlabel")), F.col("label") == F.col("qlabel")).select(F.col("qid").alias("question_id"), "chunk_id")
     return evaluate.score(found, rel, q.select(F.col("qid").alias("question_id")))
 
 
 def _halved(spark, sf_dir):
     """Metrics of the whole vectors and of their first half."""
     index, q = _vectors(spark, sf_dir), _vector_questions(spark, sf_dir)
-    rel = index.join(F.broadcast(q), F.col("label") == F.col("qlabel")).select(F.col("qid").alias("question_id"), "chunk_id")
+    rel = index.join(scratch.bounded(q.select("qid", "qlabel")), F.col("label") == F.col("qlabel")).select(F.col("qid").alias("question_id"), "chunk_id")
     asked = q.select(F.col("qid").alias("question_id"))
     half = dense.search(index.withColumn("embedding", F.slice("embedding", 1, 32)), q.withColumn("query_vector", F.slice("query_vector", 1, 32)))
     whole = dense.search(index, q)
@@ -430,12 +405,6 @@ def win_tie_loss(spark, sf_dir):
     return evaluate.win_tie_loss(*_halved(spark, sf_dir))
 
 
-@query()
-def ablation_report(spark, sf_dir):
-    half, whole = (evaluate.mean_metrics(m).withColumn("index", F.lit(n)) for m, n in zip(_halved(spark, sf_dir), ("half", "whole")))
-    return evaluate.markdown_report(half.unionByName(whole), "index")
-
-
 def _evidence_rows(spark, sf_dir) -> DataFrame:
     mapped, chunks = _mapped(spark, sf_dir)
     found = bm25.search(bm25.build_index(chunks), _questions(spark, sf_dir), 5).withColumnRenamed("qid", "question_id")
@@ -454,11 +423,6 @@ def evidence_recall(spark, sf_dir):
     return _evidence_rows(spark, sf_dir)
 
 
-@query(f"with {_EVIDENCE_METRICS} select question_id, mrr, evidence_recall from rows_ where not (evidence_recall >= 1 and mrr >= 1)")
-def failure_filter(spark, sf_dir):
-    return evaluate.failures(_evidence_rows(spark, sf_dir)).select("question_id", "mrr", "evidence_recall")
-
-
 @query("select avg(value)::double as mean, quantile_cont(value::double, 0.5) as p50, quantile_cont(value::double, 0.95) as p95 from events")
 def latency_percentiles(spark, sf_dir):
     return evaluate.latency_summary(_t(spark, sf_dir, "events"), "value")
@@ -474,7 +438,7 @@ s as (select qid, chunk_id, pre, round(10.0::double * len(list_intersect(q, t))
 select * from (select qid, chunk_id, pre::bigint as pre_rerank_rank, rerank_score, row_number() over (partition by qid order by rerank_score desc, chunk_id)::bigint as rank from s) where rank <= 5""")
 def reranked(spark, sf_dir):
     """The lexical candidates of every benchmark passage, reranked by the stand-in cross-encoder."""
-    found = bm25.search(bm25.build_index(_docs(spark, sf_dir)), _questions(spark, sf_dir)).join(_docs(spark, sf_dir), "chunk_id").join(F.broadcast(_questions(spark, sf_dir)), "qid")
+    found = bm25.search(bm25.build_index(_docs(spark, sf_dir)), _questions(spark, sf_dir)).join(_docs(spark, sf_dir), "chunk_id").join(_questions(spark, sf_dir), "qid")
     return _longs(fusion.rerank(found, 5).select("qid", "chunk_id", "pre_rerank_rank", F.round("rerank_score", 6).alias("rerank_score"), "rank"))
 
 
@@ -492,3 +456,7 @@ def case_grading(spark, sf_dir):
     )
     graded = evaluate.grade_cases(cases, results)
     return graded.groupBy(F.col("expected_status").alias("status")).agg(F.count("*").alias("n_cases"), F.count_if("passed").alias("n_passed"))
+
+
+# The other module registers its queries beside these; it needs what stands above.
+from docquarry.plans import catalogue_more  # noqa: E402, F401

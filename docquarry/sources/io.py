@@ -36,6 +36,60 @@ def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_jsonl(spark, path, f"vector_index long, {schema}")
 
 
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(vector_index, embedding) from .npy matrices, whole files a task; rows count from 0 in each file."""
+    import io as bytes_io
+
+    import numpy as np
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for content in pdf["content"]:
+                matrix = np.load(bytes_io.BytesIO(bytes(content)), allow_pickle=False).astype(np.float32)
+                for i in range(0, len(matrix), 1024):
+                    block = matrix[i : i + 1024]
+                    yield pd.DataFrame({"vector_index": np.arange(i, i + len(block)), "embedding": list(block)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "vector_index long, embedding array<float>")
+
+
+def pdf_texts(content: bytes) -> list[str]:
+    """Page texts of a PDF, by whichever of pymupdf and pypdf is installed; an extractor for ``binary_pages``."""
+    import io as bytes_io
+
+    try:
+        import pymupdf
+    except ImportError:
+        from pypdf import PdfReader
+
+        return [page.extract_text() or "" for page in PdfReader(bytes_io.BytesIO(content)).pages]
+    with pymupdf.open(stream=content, filetype="pdf") as document:
+        return [page.get_text("text") for page in document]
+
+
+def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, line, record): lines of JSON files that are not blank and do not parse, with their number; whole files a task."""
+    import json
+
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            bad = []
+            for file, content in zip(pdf["path"], pdf["content"]):
+                for number, line in enumerate(bytes(content).decode("utf-8", "replace").split("\n"), 1):
+                    if line.strip():
+                        try:
+                            ok = set(names) <= set(json.loads(line))
+                        except (ValueError, TypeError):
+                            ok = False
+                        if not ok:
+                            bad.append((file, number, line))
+            yield pd.DataFrame(bad, columns=["path", "line", "record"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, line int, record string")
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
