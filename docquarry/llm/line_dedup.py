@@ -243,7 +243,7 @@ def dedup_lines(documents: DataFrame, gram_words: int = GRAM_WORDS, run_words: i
 def query(spark, sf_dir) -> DataFrame:
     """doc_id, the text that stays, its lines before, how many pieces went, and the ranges that went."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    before = docs.withColumn("n_lines", (F.length(common.text_of()) - F.length(F.translate(common.text_of(), "\n", "")) + 1).cast("long"))
+    before = docs.withColumn("n_lines", (F.length(common.text_of()) - F.length(F.replace(common.text_of(), F.lit("\n"), F.lit(""))) + 1).cast("long"))
     after = dedup_lines(before)
     ranges = F.array_join(F.transform("_lines_removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
     gone = F.aggregate("_lines_removed", F.lit(0), lambda n, r: n + r["end"] - r["start"])
