@@ -693,3 +693,32 @@ def html_extraction(spark, sf_dir):
     """Visible text of all pages."""
     found = io.html_pages(_t(spark, sf_dir, "pages"))
     return _longs(found.select("document_id", "page", "char_count", F.md5(F.col("text").cast("binary")).alias("text")))
+
+
+# ---- soft routing -------------------------------------------------------------
+
+_ENTITY_OF = "string_split((select text from benchmark o where o.item_id = (b.item_id + 1) % (select count(*) from benchmark)), ' ')[3]"
+
+
+@query(f"""with {_POSTINGS}, cand as ({_ranked('scored', 5)}), asked_for as (select item_id as qid, {_ENTITY_OF} as entity from benchmark b),
+holds as (select qid, entity, doc_id::varchar as chunk_id, round(((doc_id * 37 + qid * 11) % 101) / 101, 6) as score from asked_for join documents on contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(entity))),
+best as (select * from (select *, row_number() over (partition by qid order by score desc, chunk_id) as nth from holds) where nth = 1),
+missing as (select best.* from best where qid not in (select cand.qid from cand join holds on cand.qid = holds.qid and cand.chunk_id = holds.chunk_id)),
+counts as (select item_id as qid, count(c.chunk_id) as n from benchmark left join cand c on c.qid = item_id group by 1),
+kept as (select c.qid, c.chunk_id, c.rank, false as routing_added, null::varchar as routing_reason from cand c left join missing m on m.qid = c.qid join counts on counts.qid = c.qid where c.rank <= 5 - (case when m.qid is not null and n = 5 then 1 else 0 end))
+select qid, chunk_id, rank::bigint as rank, routing_added, routing_reason from kept
+union all select m.qid, m.chunk_id, least(n, 4) + 1, true, 'soft_entity:' || entity from missing m join counts using (qid)""")
+def soft_routed(spark, sf_dir):
+    """The best passages of each benchmark item, with the best one that holds a word of the next item where none does."""
+    i = F.col("item_id")
+    items = _t(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ")[2].alias("word"))
+    n = items.count()
+    entities = items.select(((i + n - 1) % n).alias("qid"), F.array("word").alias("entities"), F.lit(5).alias("candidate_top_k"))
+    docs = base._docs(spark, sf_dir)
+    found = bm25.search(bm25.build_index(docs), base._questions(spark, sf_dir), 5)
+    none = F.lit(None)
+    found = found.select("qid", "chunk_id", "rank", F.lit(0.0).alias("rrf_score"), none.cast("int").alias("dense_rank"), none.cast("double").alias("dense_score"), F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"))
+    holding = fusion.entity_matches(entities.select(F.explode("entities").alias("entity")), docs)
+    scored = entities.select("qid", F.explode("entities").alias("entity")).join(holding, "entity")
+    scored = scored.select("qid", "chunk_id", F.round(((F.col("chunk_id").cast("long") * 37 + F.col("qid") * 11) % 101) / 101, 6).alias("score")).distinct()
+    return _longs(fusion.soft_entities(found, entities, docs, scored).select("qid", "chunk_id", "rank", "routing_added", "routing_reason"))
