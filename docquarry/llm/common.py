@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.scan import let, running  # noqa: F401
-from docquarry.sources.scratch import cut, drop_scratch, shared_dir  # noqa: F401
+from docquarry.sources.scratch import bounded, cut, drop_scratch, shared_dir  # noqa: F401
 from docquarry.sources.session import ship
 
 #: ASCII white space: space and 0x09 to 0x0D; everything else belongs to a word.

@@ -225,14 +225,36 @@ def _verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, t: Frac
     whole = whole.join(F.broadcast(names) if few else names, "digest").drop("digest")
     of = lambda side: _restrict(whole, pairs.select(F.col(side).alias("nid")).distinct(), "nid").select(F.col("nid").alias(side), F.col("elements").alias(f"of_{side}"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    held = common.cut(pairs.groupBy("b").agg(F.count("*").alias("n"), F.count("*").alias("_n")), "held")
-    salts = F.when(F.col("_n") > common.HOT, F.lit(SALTS)).otherwise(F.lit(1))
-    dealt = common.join_back(pairs, held, "b").withColumn("_salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("_n")
-    copies = of("b").join(held.drop("n"), "b").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_n")
+    hot = common.bounded(pairs.groupBy("b").count().filter(F.col("count") > common.HOT).select("b", F.lit(SALTS).alias("_salts")), BROADCAST_IDS)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = pairs.join(hot, "b", "left").withColumn("_salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("_salts")
+    copies = of("b").join(hot, "b", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     joined = dealt.join(of("a"), "a").join(copies, ["b", "_salt"]).select("a", "b", shared.alias("shared"), (F.size("of_a") + F.size("of_b") - shared).alias("either"))
     return common.cut(joined.filter(F.col("shared") * t.denominator >= F.col("either") * t.numerator).select("a", "b").distinct(), "links")
 
 
+def _stars(rows: DataFrame, signed: DataFrame, t: Fraction) -> DataFrame:
+    """(x, y, together, x_n, y_n, signatures): sets and the pivots of their elements' groups, with the number of such groups.
+
+    Groups of ordinary size go through a window; a hot element's pivot is found
+    by an aggregate and goes to its rows where they lie.
+    """
+    own, element = F.struct("pos", "n", "nid"), "element"
+    hot = rows.groupBy(element).count().filter(F.col("count") > common.HOT).select(element)
+    hot = common.cut(hot, "hot")
+    few = hot.limit(common.HOT_KEYS + 1).count() <= common.HOT_KEYS
+    sent = F.broadcast(hot) if few else hot
+    side = lambda df: df.select(F.col("nid").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("y.nid").alias("y"), F.col("y.n").alias("y_n"), F.col("y.pos").alias("y_pos"), "y_s1", "y_s2").filter("x <> y").filter(_may_link(t))
+    none = F.lit(None).cast("long")
+    cold = rows.join(sent, element, "left_anti").withColumn("y", F.min(own).over(Window.partitionBy(element))).withColumns({"y_s1": none, "y_s2": none})
+    pivots = rows.join(sent, element, "left_semi").groupBy(element).agg(F.min(own).alias("y"))
+    pivots = pivots.join(signed.select(F.col("nid").alias("_nid"), F.col("s1").alias("y_s1"), F.col("s2").alias("y_s2")), F.col("y.nid") == F.col("_nid")).drop("_nid")
+    met = side(cold).unionByName(side(rows.join(F.broadcast(pivots) if few else pivots, element)))
+    met = common.cut(met.groupBy("x", "y").agg(F.count("*").alias("together"), *(F.max(c).alias(c) for c in ("x_n", "y_n", "y_s1", "y_s2"))), "met")
+    met = met.join(_side(signed, "x").withColumnRenamed("x_nid", "x"), "x")
+    return met.filter("y_s1 is not null").unionByName(met.filter("y_s1 is null").drop("y_s1", "y_s2").join(_side(signed, "y").withColumnRenamed("y_nid", "y"), "y"))
+
+
 def link_documents(documents: DataFrame, n: int = 4, similarity: Fraction = Fraction(85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) for each input row."""
     common.small_batches(documents.sparkSession)
@@ -246,13 +268,9 @@ def link_documents(documents: DataFrame, n: int = 4, similarity: Fraction = Frac
 
     # elements in the prefixes of two sets or more; sizes and signatures join late, to keep shuffled rows narrow
     rows = _shared(_prefixes(usable, n, t, counts))
-    described = sets.select("digest", "nid", F.col("n").cast("int").alias("n"), "s1", "s2")
-    rows = common.cut(rows.join(described, "digest").drop("digest").dropDuplicates(["element", "nid"]), "prefixes")
-
-    pivots = rows.groupBy("element").agg(F.count("*").alias("n"), F.min(F.struct("pos", "n", "nid", "s1", "s2")).alias("y")).filter("n > 1")
-    pivots = common.cut(pivots.select("element", "n", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("pos", "n", "nid", "s1", "s2"))), "pivots")
-    stars = common.join_back(_side(rows, "x", "element"), pivots, "element").filter("x_nid <> y_nid").filter(_may_link(t) & _near(t))
-    stars = stars.groupBy(F.col("x_nid").alias("x"), F.col("y_nid").alias("y")).agg(F.count("*").alias("together"))
+    rows = common.cut(rows.join(sets.select("digest", "nid", F.col("n").cast("int").alias("n")), "digest").select("element", "nid", "pos", "n").distinct(), "prefixes")
+    signed = sets.select("nid", "s1", "s2")
+    stars = _stars(rows, signed, t).filter(_near(t))
     nearest = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("together"), "y"))
     stars = common.cut(stars.withColumn("_nearest", nearest).filter(f"_nearest <= {PIVOTS}").select(F.col("x").alias("a"), F.col("y").alias("b")), "stars")
     links = _verify(stars, sets, usable, n, t)
@@ -263,7 +281,9 @@ def link_documents(documents: DataFrame, n: int = 4, similarity: Fraction = Frac
     roots = rows.groupBy("element", "root").agg(F.count("*").alias("k"))
     mixed = roots.groupBy("element").agg(F.sum("k").alias("n"), F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
     mixed = common.cut(mixed.select("element", "n", "m", F.col("most.root").alias("big")), "mixed")
-    rows = common.cut(common.join_back(rows, mixed, "element"), "apart")
+    few = mixed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = rows.join(F.broadcast(mixed.drop("n")), "element") if few else common.join_back(rows, mixed, "element")
+    rows = common.cut(rows.join(signed, "nid"), "apart")
     salts = F.when(F.col("m") > common.HOT, F.lit(SALTS)).otherwise(F.lit(1))
     one = _side(rows.withColumn("salt", F.pmod(F.xxhash64("nid"), salts).cast("int")).drop("m"), "x", "element", "salt", "big")
     other = _side(rows.filter("root <> big").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m", "big"), "y", "element", "salt")
