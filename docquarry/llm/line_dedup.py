@@ -234,6 +234,7 @@ def dedup_lines(documents: DataFrame, gram_words: int = GRAM_WORDS, run_words: i
     def cleaned(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else without(t, list(zip(a.tolist(), b.tolist()))) for t, a, b in zip(texts, starts, ends)], dtype=object)
 
+    cleaned = cleaned.asNondeterministic()  # so a filter on the new text does not make a second worker clean it again
     touched = F.col(r).isNotNull()
     clean = cleaned(F.when(touched, F.col(text_col)), F.col(r)["start"], F.col(r)["end"])
     none = F.array().cast("array<struct<start:int,end:int>>")
