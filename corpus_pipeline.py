@@ -5,6 +5,15 @@ documents of which nothing is left), the n-gram Jaccard join keeps the smallest
 id of each near-duplicate component, decontamination drops documents that
 overlap with the benchmark, and packing lays out what is left. ``check`` and
 ``run`` write each stage as Parquet and read it again for the next.
+
+Cases, for every stage: an empty table gives no rows; all but the last keep the
+columns as they are, extra ones and clashing names included. A null text counts
+as empty: quality rules drop it, the stages after them would keep it as it is.
+A row without id is judged by its text alone: its repeated lines go (such rows
+come last in the order), it is no near duplicate of another and no overlap is
+reported for it, so it stays; its pieces have a null id. Rows that repeat id and
+text are treated alike and stay as often as they occur. Texts of any length are
+read whole.
 """
 
 from __future__ import annotations
