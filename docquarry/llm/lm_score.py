@@ -48,7 +48,8 @@ from docquarry.llm import common, subwords
 
 HELD_OUT = (5, 1)
 HEAD = 1 << 19
-CACHE = 400_000
+CACHE = 150_000  # different words counted at once; more would leave the processor's cache
+LOOKED_UP = 400_000
 
 VOCAB = subwords.SIZE
 MARK = VOCAB - 1  # stands before the first and after the last subword
@@ -107,7 +108,7 @@ class BaseScorer:
         split = [words_of(t) + [END] for t in texts]
         n = np.array(list(map(len, split)), np.int64)
         words = list(chain.from_iterable(split))
-        if len(self.cache) > CACHE:
+        if len(self.cache) > LOOKED_UP:
             self.cache.clear()
         logs = np.fromiter(map(self.cache.get, words, repeat(NEW)), np.float64, len(words))
         at = np.flatnonzero(logs == NEW)
