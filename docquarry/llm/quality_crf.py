@@ -8,13 +8,15 @@ through a fitted logistic curve to the score of the text.
 The field is trained in numpy on the driver, on at most ``SAMPLE`` labelled
 documents (those with the least hash of their id), always with all their lines;
 where these together exceed ``LINES``, on fewer documents, and one that exceeds
-it alone is not in the sample. All lines of a document carry its label. Scoring covers
+it alone is not in the sample. All lines of a document carry its label, as the
+labels know no better, so the chain learns that neighbours agree and carries a
+verdict on from telling lines to plain ones. Scoring covers
 every line of every text. Nothing but the text enters a score.
 
 Cases: null and empty texts are one empty line; without labels of both classes
 every score is the share of good labels, 0.5 without any; null labels are
-skipped, several labels of one id count singly; each input row gives one output
-row; extra columns are ignored.
+skipped, several labels of one id count singly, contradicting ones too; equal
+texts get equal scores; each input row gives one output row; extra columns are ignored.
 """
 
 from __future__ import annotations

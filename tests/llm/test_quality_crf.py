@@ -92,3 +92,24 @@ def test_line_features_cover_all_words():
     own = q.line_features(line * 100 + " ".join(f"word{i}" for i in range(100)))[0][0]
     assert abs(own[q.OWN.index("short_words")] - 100 / 800) < 1e-12
     assert abs(own[q.OWN.index("top_word")] - 600 / 800) < 1e-12
+
+
+def test_ties_and_repeated_rows(spark):
+    rows = [(i % 40, "a plain line of words.\n" * (1 + i % 3) if i % 2 else "BUY!! NOW!! $$$ ###\n" * (1 + i % 3)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(7, 0)], "doc_id long, quality int")
+    got = q.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 120
+    by_text = {}
+    for g in got:
+        by_text.setdefault((g.doc_id % 2, g.score), 0)
+    assert len(by_text) <= 6 and all((g.score >= 0.5) == (g.doc_id % 2 == 1) for g in got)
+
+
+def test_features_do_not_hang_on_the_hash_seed():
+    import os
+    import subprocess
+    import sys
+
+    code = "from docquarry.llm.quality_crf import line_features as f; print(f('a b a cc dd ee a b b\\nsame same other')[0].tolist())"
+    told = {subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": os.getcwd()}).stdout for seed in ("0", "1", "2")}
+    assert len(told) == 1
