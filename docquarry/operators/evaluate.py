@@ -25,9 +25,9 @@ BUCKET = 4096
 def article_spans(pages: DataFrame) -> DataFrame:
     """(document_id, article, start, end): numbers without suffix letter, the last one of a number counts, ends at the next article."""
     w = Window.partitionBy("document_id").orderBy("at")
-    number = F.regexp_extract("line", r"(?U)^Điều\s+(\d+)[a-zA-Z]?\.", 1)
+    pattern = r"(?U)^Điều\s+(\d+)[a-zA-Z]?\."
     size = chunking.page_ranges(pages).groupBy("document_id").agg((F.max("end") + 1).alias("size"))
-    found = structure.lines(pages).withColumn("n", number).filter("n <> ''").join(size, "document_id")
+    found = structure.lines_like(pages, pattern).withColumn("n", F.regexp_extract("line", pattern, 1)).join(size, "document_id")
     found = found.select("document_id", F.col("n").cast("int").alias("article"), F.col("at").alias("start"), F.coalesce(F.lead("at").over(w), F.col("size")).alias("end"))
     return found.groupBy("document_id", "article").agg(F.max_by(F.struct("start", "end"), "start").alias("s")).select("document_id", "article", "s.start", "s.end")
 
