@@ -73,6 +73,15 @@ def anchor_pattern(anchor: Column) -> Column:
     return F.concat(F.lit("(?U)"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), r"\s+"))
 
 
+def _at_documents(documents: DataFrame, rows: DataFrame, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``use`` of the documents joined with ``rows`` (document_id, anchor, ...), which go to the documents in parts of bounded size: whole texts are not shuffled."""
+    found = None
+    for part in scratch.in_parts(rows, "document_id", F.octet_length("anchor") + 96):
+        met = use(documents.join(F.broadcast(part), "document_id"))
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
 def candidate_documents(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     """(document_id, *anchors) of the documents that hold the anchor's words in a row; anchors: (question_id, anchor).
 
@@ -87,7 +96,8 @@ def candidate_documents(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     spread = documents.select("document_id", split(F.col("full_text")).alias("_w")).filter(F.size("_w") >= 3)
     spread = spread.select("document_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))).alias("_k"))
     pairs = spread.join(scratch.bounded(keyed.select("question_id", "_k")), "_k").select("document_id", "question_id").distinct()
-    held = pairs.join(anchors, "question_id").join(documents, "document_id").filter(F.contains("full_text", F.col("anchor"))).select("document_id", *anchors.columns)
+    pairs = scratch.cut(pairs.join(anchors, "question_id"), "pairs")
+    held = _at_documents(documents, pairs, lambda met: met.filter(F.contains("full_text", F.col("anchor"))).select("document_id", *anchors.columns))
     few = asked.filter(F.size("_w") < 5).drop("_w")
     for part in scratch.in_parts(few, "question_id", F.length("anchor") * 4 + 64) if not few.isEmpty() else []:
         met = documents.join(F.broadcast(part), F.contains("full_text", F.col("anchor"))).select("document_id", *anchors.columns)
@@ -102,12 +112,15 @@ def locate_evidence(documents: DataFrame, anchors: DataFrame, strict: bool = Fal
     anchor, document_id), as each anchor belongs to one document. ``strict``
     makes any other number of matches an error.
     """
-    met = anchors.join(documents, "document_id").withColumn("_p", anchor_pattern(F.col("anchor")))
-    met = met.withColumn("_n", F.regexp_count("full_text", F.col("_p")))
-    if strict:
-        met = met.withColumn("_n", F.when(F.col("_n") != 1, F.raise_error(F.concat(F.col("evidence_id"), F.lit(" matches "), F.col("_n").cast("string"), F.lit(" times")))).otherwise(F.col("_n")))
-    met = met.filter("_n = 1").withColumn("text", F.regexp_substr("full_text", F.col("_p"))).withColumn("start", F.regexp_instr("full_text", F.col("_p")) - 1)
-    return met.select("question_id", "evidence_id", "document_id", "text", "start", (F.col("start") + F.length("text")).alias("end"), F.length("text").alias("length"))
+    n = F.col("_n")
+    checked = F.when(n != 1, F.raise_error(F.concat(F.col("evidence_id"), F.lit(" matches "), n.cast("string"), F.lit(" times")))).otherwise(n) if strict else n
+
+    def place(met: DataFrame) -> DataFrame:
+        met = met.withColumn("_p", anchor_pattern(F.col("anchor"))).withColumn("_n", F.regexp_count("full_text", F.col("_p"))).withColumn("_n", checked).filter("_n = 1")
+        met = met.withColumn("text", F.regexp_substr("full_text", F.col("_p"))).withColumn("start", F.regexp_instr("full_text", F.col("_p")) - 1)
+        return met.select("question_id", "evidence_id", "document_id", "text", "start", (F.col("start") + F.length("text")).alias("end"), F.length("text").alias("length"))
+
+    return _at_documents(documents, scratch.cut(anchors, "anchors"), place)
 
 
 def evidence_threshold(length: Column) -> Column:

@@ -40,3 +40,19 @@ def test_windows_make_the_text_once(spark):
     plan = chunking.fixed_chunks(pages.selectExpr("document_id", "page", "concat(text, reverse(text)) as text"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
     assert [(c.start_char, c.end_char) for c in plan.orderBy("start_char").collect()] == [(0, 512), (462, 974), (924, 1436), (1386, 1898), (1848, 2000)]
+
+
+def test_evidence_is_found_without_moving_texts(spark):
+    r = random.Random(3)
+    text = [" ".join("".join(chr(r.randrange(97, 123)) for _ in range(6)) for _ in range(700)) for _ in range(200)]
+    documents = spark.createDataFrame([(str(i), t) for i, t in enumerate(text)], "document_id string, full_text string").repartition(8).persist()
+    documents.count()
+    anchors = spark.createDataFrame([(i, " ".join(text[i].split()[5:15])) for i in range(200)], "question_id int, anchor string")
+
+    def run():
+        met = evaluate.candidate_documents(documents, anchors).selectExpr("*", "'e' || question_id as evidence_id")
+        return evaluate.locate_evidence(documents, met).collect()
+
+    got, moved = shuffled(spark, run)
+    assert sorted((x.question_id, x.document_id, x.start) for x in got) == sorted((i, str(i), text[i].index(" ".join(text[i].split()[5:15]))) for i in range(200))
+    assert moved < 300_000  # the texts are 980,000 characters
