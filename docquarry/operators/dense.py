@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.functions import best
 from docquarry.functions import vectors as vx
 from docquarry.operators.bm25 import top
 from docquarry.sources import scratch
@@ -33,10 +36,53 @@ def scores(index: DataFrame, queries: DataFrame, embedding: str = "embedding", v
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, embedding: str = "embedding", vector: str = "query_vector") -> DataFrame:
-    """The k best chunks of each query with rank; k above the index's size gives all. Null vectors match nothing."""
+    """The k best chunks of each query with rank; k above the index's size gives all. Null vectors match nothing.
+
+    A task multiplies its vectors with all queries, in double precision and in
+    blocks, and hands on only the k best of each query; queries of more than
+    ``scratch.BROADCAST_BYTES`` together go in parts, one scan each.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    return top(scores(index, queries, embedding, vector), k)
+    spark, found = index.sparkSession, None
+    kinds = index.schema["chunk_id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    schema = "qid {1}, chunk_id {0}, score double".format(*kinds)
+    own = index.select("chunk_id", F.col(embedding).cast("array<double>").alias("v")).filter("v is not null")
+    for part in scratch.in_parts(queries.select("qid", F.col(vector).cast("array<double>").alias("v")), "qid", F.size("v") * 8 + 16):
+        rows = part.filter("v is not null").toArrow()
+        met = spark.createDataFrame([], schema)
+        if rows.num_rows:
+            met = own.mapInArrow(_best_rows(spark.sparkContext.broadcast(_by_size(rows["qid"].combine_chunks(), rows["v"].combine_chunks())), k), schema)
+        found = met if found is None else found.unionByName(met)
+    return top(found, k)
+
+
+def _by_size(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """Vectors of one size as a matrix, with their ids; vectors of another size have no product."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    out = {}
+    for size in np.unique(sizes).tolist():
+        at = pa.array(np.flatnonzero(sizes == size))
+        flat = vectors.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        out[size] = ids.take(at), flat.reshape(len(at), size)
+    return out
+
+
+def _best_rows(sent, k: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        kept = {size: best.Best(len(ids), k, DIGITS) for size, (ids, _) in asked.items()}
+        for rows in parts:
+            for size, (ids, matrix) in _by_size(rows["chunk_id"], rows["v"]).items():
+                if size in asked:
+                    step = max(1, best.CELLS // len(asked[size][0]))
+                    for at in range(0, len(ids), step):
+                        kept[size].add(asked[size][1] @ matrix[at : at + step].T, ids.slice(at, step))
+        for size, found in kept.items():
+            if (got := found.sort()) is not None:
+                yield from pa.table({"qid": asked[size][0].take(got["q"]), "chunk_id": got["id"], "score": got["s"]}).to_batches(max_chunksize=50_000)
+
+    return run
 
 
 def scores_of(index: DataFrame, queries: DataFrame, allowed: DataFrame, embedding: str = "embedding", vector: str = "query_vector") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from docquarry.operators import bm25, chunking, evaluate
+from docquarry.operators import bm25, chunking, dense, evaluate
 
 
 def shuffled(spark, run) -> tuple[object, int]:
@@ -56,3 +56,13 @@ def test_evidence_is_found_without_moving_texts(spark):
     got, moved = shuffled(spark, run)
     assert sorted((x.question_id, x.document_id, x.start) for x in got) == sorted((i, str(i), text[i].index(" ".join(text[i].split()[5:15]))) for i in range(200))
     assert moved < 300_000  # the texts are 980,000 characters
+
+
+def test_dense_search_hands_on_no_pairs(spark):
+    r = random.Random(4)
+    index = spark.createDataFrame([(f"c{i}", [r.gauss(0, 1) for _ in range(8)]) for i in range(6000)], "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(100)] + [(100, None)], "qid int, query_vector array<float>")
+    got = dense.search(index, asked, 5)
+    want = bm25.top(dense.scores(index, asked.filter("qid < 100")), 5)
+    assert sorted(map(tuple, got.select("qid", "chunk_id", "score", "rank").collect())) == sorted(map(tuple, want.select("qid", "chunk_id", "score", "rank").collect()))
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # pairs are scored and cut to k in one place
