@@ -36,11 +36,10 @@ rows included; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +47,9 @@ from docquarry.llm import common, subwords
 
 HELD_OUT = (5, 1)
 HEAD = 1 << 19
-CACHE = 150_000  # different words counted at once; more would leave the processor's cache
-LOOKED_UP = 400_000
+COUNTED = 64 << 20  # bytes of words counted at once
+ROWS = 50_000  # rows of counts handed on at once
+SLICE = 100_000  # different words hashed at once
 
 VOCAB = subwords.SIZE
 MARK = VOCAB - 1  # stands before the first and after the last subword
@@ -59,6 +59,7 @@ BUCKETS = 32
 WINDOW, CONTEXT = 32, 8
 STRIDE = WINDOW - CONTEXT
 WIDTH, KEY = 16, 8
+HEADS = 2 * KEY + WIDTH  # query, key and value of a position together
 SLOPE = 0.15
 #: Parts of the shards that are trained on one after the other.
 ROUNDS = 4
@@ -66,60 +67,83 @@ ROUNDS = 4
 SHARD, MOST_SHARDS = 1 << 21, 1 << 14
 BATCH, RATE = 64, 0.01
 TALLY = 1_000_000
-FEW = 64  # texts whose words are looked up together; more would leave the processor's cache
 CHUNK = 128  # windows scored at once
 
 
 # ---- words -----------------------------------------------------------------
 
-def word_hashes(words) -> np.ndarray:
+END = b"\n"  # the end token among words; no word holds white space
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, made in slices as each word is a Python object meanwhile."""
     import xxhash
 
-    words = list(words)
-    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
+    out = np.empty(len(words), np.uint64)
+    for i in range(0, len(words), SLICE):
+        part = words.slice(i, SLICE).cast(pa.binary()).to_numpy(zero_copy_only=False)
+        out[i : i + SLICE] = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part))
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+END_HASH = word_hashes(pa.array([END]))[0]
 
 
-END = b"\n"  # the end token among words; no word holds white space
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, A-Z lower-cased, and their number in each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    real = pc.not_equal(words, "")  # white space at the beginning or end leaves an empty piece
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), np.diff(before[np.concatenate([[0], ends]).astype(np.int64)])
+
+
+class WordCounts:
+    """Counts of words; gathered and counted together, as each count row that leaves must be added up later."""
+
+    def __init__(self):
+        self.parts, self.held, self.ends = [], 0, 0
 
+    def add(self, texts: pa.Array) -> None:
+        words, _ = words_of(texts)
+        self.parts.append(words)
+        self.held += words.nbytes
+        self.ends += len(texts)
 
-NEW = 1.0  # no logarithm of a share is positive
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and counts of what was added since the last call, the end tokens included."""
+        found = pc.value_counts(pa.chunked_array([*self.parts, pa.array([], pa.string())]))
+        words, n = word_hashes(found.field("values")), found.field("counts").to_numpy(zero_copy_only=False)
+        if self.ends:
+            words, n = np.append(words, END_HASH), np.append(n, self.ends)
+        self.__init__()
+        return words, n
 
 
 class BaseScorer:
     """Sums log10((c + 0.5) / z) over words whose count is at hand, and lists the hashes of the others."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, z: float):
-        self.hashes, self.logs, self.cache = hashes, np.log10((counts + 0.5) / z), {}
+        self.hashes, self.logs = hashes, np.log10((counts + 0.5) / z)
 
-    def _look_up(self, words: list[bytes]) -> np.ndarray:
-        """The logs of the words, 0 where the count is not at hand."""
-        h = word_hashes(words)
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        """The logs of the hashes, 0 where the count is not at hand (no logarithm of a share is 0)."""
         if not len(self.hashes):
             return np.zeros(len(h))
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.logs[at], 0.0)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """For each text, the end token included: tokens, those at hand, their sum, hashes of those that must join."""
-        split = [words_of(t) + [END] for t in texts]
-        n = np.array(list(map(len, split)), np.int64)
-        words = list(chain.from_iterable(split))
-        if len(self.cache) > LOOKED_UP:
-            self.cache.clear()
-        logs = np.fromiter(map(self.cache.get, words, repeat(NEW)), np.float64, len(words))
-        at = np.flatnonzero(logs == NEW)
-        new = [words[i] for i in at.tolist()]
-        logs[at] = found = self._look_up(new)
-        self.cache.update(zip(new, found.tolist()))
-        owner = np.repeat(np.arange(len(split)), n)
+        words, n = words_of(texts)
+        coded = words.dictionary_encode()  # each different word is hashed and looked up once
+        hashes = np.append(word_hashes(coded.dictionary), END_HASH)
+        each = np.insert(coded.indices.to_numpy(), np.cumsum(n), len(hashes) - 1)
+        logs, owner, n = self._look_up(hashes)[each], np.repeat(np.arange(len(n)), n + 1), n + 1
         at = np.flatnonzero(logs == 0.0)
-        rare = np.bincount(owner[at], minlength=len(split))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)]), pa.int32()), pa.array(word_hashes(words[i] for i in at.tolist())))
-        return n, n - rare, np.bincount(owner, logs, len(split)), lists
+        rare = np.bincount(owner[at], minlength=len(n))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)]), pa.int32()), pa.array(hashes[each[at]]))
+        return n, n - rare, np.bincount(owner, logs, len(n)), lists
 
 
 # ---- the model -------------------------------------------------------------
@@ -194,42 +218,51 @@ def train_step(w: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, seen: n
 
     The gradient of "e" is that of the given rows only.
     """
-    kind, ids = w["e"].dtype, x.ravel()
+    kind, ids, n = w["e"].dtype, x.ravel(), len(x)
     order = np.argsort(ids.astype(np.uint16), kind="stable")  # radix sort
     ordered = ids[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    shaped = lambda a, steps: a.reshape(len(x), steps, -1)
     e = w["e"].take(ids, 0, mode="clip")
-    late = flat(shaped(e, WINDOW)[:, CONTEXT:])
-    wq, wkv = w["q"] * kind.type(1 / math.sqrt(KEY)), np.hstack([w["k"], w["v"]])
-    q, kv = shaped(late @ wq, STRIDE), shaped(e @ wkv, WINDOW)
-    k, v = kv[:, :, :KEY], kv[:, :, KEY:]
-    turned = np.ascontiguousarray(kv.transpose(0, 2, 1))
+    # queries, keys, values and a one side by side: one product makes all, and the attention's norm comes with its output
+    w_all = np.hstack([w["q"] * kind.type(1 / math.sqrt(KEY)), w["k"], w["v"]])
+    every = np.empty((n, WINDOW, HEADS + 1), kind)
+    every[:, :, :HEADS] = (e @ w_all).reshape(n, WINDOW, HEADS)
+    every[:, :, HEADS] = 1
+    turned = np.ascontiguousarray(every[:, :, KEY:].transpose(0, 2, 1))
+    q, k = every[:, CONTEXT:, :KEY], every[:, :, KEY : 2 * KEY]
     p = q @ turned[:, :KEY]
     np.clip(p, -30, 30, out=p)
     np.exp(p, out=p)
-    p *= DECAY  # distance bias and causal mask at once
-    p /= (p @ np.ones(WINDOW, kind))[:, :, None]
-    o = flat(p @ v)
+    p *= DECAY  # distance bias and causal mask at once; each row is still to be divided by its norm
+    o = flat(p @ every[:, :, 2 * KEY :])
+    norm = o[:, WIDTH:].copy()
+    o = o[:, :WIDTH] / norm
     z = table.take(x[:, CONTEXT:].ravel(), 0, mode="clip")
     z += o @ w["u"]
     np.exp(z, out=z)
     mass = seen.ravel() / kind.type(max(1, seen.sum()))
     at, total = (np.arange(len(z)), y.ravel()), z @ np.ones(CLASSES, kind)
-    loss = -float(np.log(z[at] / total) @ mass)
-    z *= (mass / total)[:, None]
-    z[at] -= mass  # z is now the gradient of the scores
-    do = shaped(z @ w["u"].T, STRIDE)
+    own = z[at]
+    loss = -float(np.log(own / total) @ mass)
+    z[at] = own - total  # times the scale, z is now the gradient of the scores
+    scale = (mass / total)[:, None]
+    do = np.empty((n, STRIDE, WIDTH + 1), kind)
+    back = flat(do)
+    np.multiply(z @ w["u"].T, scale / norm, out=back[:, :WIDTH])
+    np.negative(np.einsum("ij,ij->i", o, back[:, :WIDTH]), out=back[:, WIDTH])
     ds = do @ turned[:, KEY:]
-    ds -= shaped(np.einsum("ij,ij->i", o, flat(do)), STRIDE)
     ds *= p
-    dq, dkv = flat(ds @ k), flat(np.concatenate([ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ do], 2))
-    each = shaped(dkv @ wkv.T, WINDOW)
-    each[:, CONTEXT:] += shaped(dq @ wq.T, STRIDE)
-    de = np.add.reduceat(np.ascontiguousarray(flat(each).take(order, 0).T), starts, 1).T
-    gkv = e.T @ dkv
-    return loss, {"e": de, "q": late.T @ dq * kind.type(1 / math.sqrt(KEY)), "k": gkv[:, :KEY], "v": gkv[:, KEY:], "u": o.T @ z}, ordered[starts]
+    d = np.empty((n, WINDOW, HEADS), kind)
+    d[:, :CONTEXT, :KEY] = 0
+    d[:, CONTEXT:, :KEY] = ds @ k
+    d[:, :, KEY : 2 * KEY] = ds.transpose(0, 2, 1) @ q
+    d[:, :, 2 * KEY :] = p.transpose(0, 2, 1) @ do[:, :, :WIDTH]
+    d = flat(d)
+    de = np.add.reduceat(np.ascontiguousarray((d @ w_all.T).take(order, 0).T), starts, 1).T
+    g = e.T @ d
+    o *= scale
+    return loss, {"e": de, "q": g[:, :KEY] * kind.type(1 / math.sqrt(KEY)), "k": g[:, KEY : 2 * KEY], "v": g[:, 2 * KEY :], "u": o.T @ z}, ordered[starts]
 
 
 def windows_in(n: int) -> int:
@@ -242,9 +275,8 @@ def padded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = windows_in(len(ids))
     full = np.full(m * STRIDE + CONTEXT + 1, MARK, np.int64)
     full[CONTEXT + 1 : CONTEXT + 1 + len(ids)] = ids
-    starts = np.arange(m)[:, None] * STRIDE
-    targets = starts + np.arange(STRIDE)
-    return full[starts + np.arange(WINDOW)], full[targets + CONTEXT + 1], targets <= len(ids)
+    inputs = np.lib.stride_tricks.sliding_window_view(full, WINDOW)[::STRIDE]
+    return inputs, full[CONTEXT + 1 :].reshape(m, STRIDE), (np.arange(m * STRIDE) <= len(ids)).reshape(m, STRIDE)
 
 
 class Model:
@@ -257,13 +289,16 @@ class Model:
         self.kv = np.hstack([e @ weights["k"], e @ weights["v"], np.ones((VOCAB, 1), np.float32)])
         self.u, self.table, self.share, self.classes = weights["u"], table, share, classes
         self.ones = np.ones(CLASSES, np.float32)
+        # no product of a query and a key is beyond the product of the longest two
+        self.clipped = not np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.kv[:, :KEY], axis=1).max() < 30
 
     def window_scores(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural-log probability of each target given its window so far (batched, masked)."""
         late = x[:, CONTEXT:].ravel()
         kv = self.kv.take(x.ravel(), 0, mode="clip").reshape(len(x), WINDOW, -1)
         s = self.q.take(late, 0, mode="clip").reshape(len(x), STRIDE, KEY) @ kv[:, :, :KEY].transpose(0, 2, 1)
-        np.clip(s, -30, 30, out=s)
+        if self.clipped:
+            np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
         s *= DECAY
         o = (s @ kv[:, :, KEY:]).reshape(-1, WIDTH + 1)
@@ -312,35 +347,33 @@ def _read(documents: DataFrame, paths) -> DataFrame:
 
     def scan(batches):
         encode = subwords.shared(paths).encode
-        words: Counter = Counter()
-        follows = Tally(VOCAB * BUCKETS)
+        words, follows = WordCounts(), Tally(VOCAB * BUCKETS)
         nothing = pa.nulls
 
         def counts():
-            keys = list(words)
+            keys, times = words.taken()
             n = len(keys)
-            return pa.RecordBatch.from_arrays([nothing(n, pa.int64()), nothing(n, pa.bool_()), nothing(n, pa.string()), nothing(n, pa.binary()), pa.array(word_hashes(keys)), pa.array([words[k] for k in keys], pa.int64()), nothing(n, pa.int32()), nothing(n, pa.binary())], names=names)
+            for i in range(0, max(n, 1), ROWS):
+                m = min(ROWS, n - i)
+                yield pa.RecordBatch.from_arrays([nothing(m, pa.int64()), nothing(m, pa.bool_()), nothing(m, pa.string()), nothing(m, pa.binary()), pa.array(keys[i : i + m]), pa.array(times[i : i + m], pa.int64()), nothing(m, pa.int32()), nothing(m, pa.binary())], names=names)
 
         for batch in batches:
-            out, row, ends = [], [], 0
-            for text, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
+            out, row = [], []
+            held_out = batch.column("held_out")
+            words.add(batch.column("text").filter(pc.invert(held_out)))
+            for text, held in zip(batch.column("text").to_pylist(), held_out.to_pylist()):
                 ids = np.array(encode(text), np.uint16)
                 out.append(ids.tobytes())
                 if not held:
-                    words.update(words_of(text))
-                    ends += 1
                     row += MARKS, ids
             if row:
                 both = np.concatenate([*row, MARKS]).astype(np.int64)
                 follows.add((both[1:] * BUCKETS + buckets_of(both[:-1])).astype(np.int32))
-            if ends:
-                words[END] += ends
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("text"), pa.array(out, pa.binary()), nothing(n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.int32()), nothing(n, pa.binary())], names=names)
-            if len(words) > CACHE:  # bounded; the counts are added up later
-                yield counts()
-                words.clear()
-        yield counts()
+            if words.held > COUNTED:  # bounded; the counts are added up later
+                yield from counts()
+        yield from counts()
         blocks = list(common.blocks_of(follows.flush()))
         n = len(blocks)
         yield pa.RecordBatch.from_arrays([nothing(n, pa.int64()), nothing(n, pa.bool_()), nothing(n, pa.string()), nothing(n, pa.binary()), nothing(n, pa.int64()), nothing(n, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([p for _, p in blocks], pa.binary())], names=names)
@@ -388,7 +421,7 @@ class Trainer:
             self.w[n] = flat[at : at + weights[n].size].reshape(weights[n].shape)
             at += weights[n].size
         self.flat, self.m, self.v = flat, np.zeros_like(flat), np.zeros_like(flat)
-        self.rows = np.zeros((2, *weights["e"].shape), np.float32)  # both moments of "e"
+        self.rows = np.zeros((VOCAB, 2 * WIDTH), np.float32)  # both moments of "e"
         self.met, self.done, self.windows, self.pool, self.waiting = np.zeros(VOCAB, np.float32), 0, 0, [], 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -411,11 +444,12 @@ class Trainer:
         self.m += 0.1 * (small - self.m)
         self.v += 0.01 * (small * small - self.v)
         self.flat -= RATE / (1 - 0.9**self.done) * self.m / (np.sqrt(self.v / (1 - 0.99**self.done)) + 1e-6)
-        k, (m, v) = self.met[rows][:, None], self.rows.take(rows, 1)  # a row of "e" counts the steps that met it
+        k, both = self.met[rows][:, None], self.rows.take(rows, 0, mode="clip")  # a row of "e" counts the steps that met it
+        m, v = both[:, :WIDTH], both[:, WIDTH:]
         m += 0.1 * (g["e"] - m)
         v += 0.01 * (g["e"] * g["e"] - v)
-        self.rows[0, rows], self.rows[1, rows] = m, v
-        self.w["e"][rows] -= (RATE / (1 - 0.9**k)) * m / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
+        self.rows[rows] = both
+        self.w["e"][rows] -= (RATE / (1 - 0.9**k)) * m / (np.sqrt(v) / np.sqrt(1 - 0.99**k) + 1e-6)
 
     def changes(self) -> np.ndarray:
         """Changes of "e" times the steps that met a row, of the rest times windows; then these counts."""
@@ -516,10 +550,7 @@ def score_documents(documents: DataFrame, head: int = HEAD, rounds: int = ROUNDS
             scores = model.score_many(ids) if ids else []
             if not batch.num_rows:
                 continue
-            texts_ = batch.column(3).to_pylist()
-            parts_ = [base(texts_[i : i + FEW]) for i in range(0, len(texts_), FEW)]
-            tokens, known, sums = (np.concatenate([p[i] for p in parts_]) for i in range(3))
-            rare = pa.concat_arrays([p[3] for p in parts_])
+            tokens, known, sums, rare = base(batch.column(3))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), batch.column(2), pa.array(tokens), pa.array(known), pa.array(sums), rare, pa.array(scores, pa.float64()), pa.array([len(i) + 1 for i in ids], pa.int64()),
             ], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "n_subwords"])

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from docquarry.llm import lm_score as lm
 from docquarry.llm import subwords
@@ -140,3 +141,17 @@ def test_every_window_of_the_training_texts_is_trained_on(spark, monkeypatch):
     ids = sorted({i for _, t in rows for i in encode(t)})
     before, after = seen[0][0]["e"], seen[-1][1]["e"]
     assert len(ids) > 300 and (before[ids] != after[ids]).any(1).all()
+
+
+def test_words_are_those_of_the_pattern_and_are_counted_once_a_task():
+    texts = ["", " ", "a", " A\tb\x0bB\x0c\r\n", "x\x1cy\x85z\xa0w É é", "  two  two ", "ẞ q\x00r", "\x1f"] * 3
+    words, n = lm.words_of(pa.array(texts))
+    want = [WORD.findall(t.translate(LOWER)) for t in texts]
+    assert n.tolist() == list(map(len, want)) and words.to_pylist() == [w for ws in want for w in ws]
+    counts = lm.WordCounts()
+    for i in range(0, len(texts), 5):
+        counts.add(pa.array(texts[i : i + 5]))
+    every = Counter(w for ws in want for w in ws) + Counter({lm.END: len(texts)})
+    got = dict(zip(*(a.tolist() for a in counts.taken())))
+    assert got == {int(lm.word_hashes(pa.array([w]))[0]): c for w, c in every.items()}
+    assert [len(a) for a in counts.taken()] == [0, 0]  # nothing is handed on twice
