@@ -22,18 +22,34 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+class _Places(dict):
+    """Twice a word's axis, plus one where it counts up; the first 100,000 words are kept."""
+
+    def __init__(self, dimension: int):
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode())
+        place = h % self.dimension * 2 + (h >> 31)
+        if len(self) < 100_000:
+            self[word] = place
+        return place
+
+
 class HashingEncoder:
     """Deterministic stand-in for a neural encoder: signed hashed word counts, of unit length."""
 
     def __init__(self, dimension: int = DIMENSION):
-        self.dimension = dimension
+        self.dimension, self.places = dimension, None
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        if self.places is None:  # made where it is used
+            self.places = _Places(self.dimension)
         out = np.zeros((len(texts), self.dimension), np.float32)
         for row, text in zip(out, texts):
-            for word in (text or "").lower().split():
-                h = zlib.crc32(word.encode())
-                row[h % self.dimension] += 1 if h >> 31 else -1
+            words = (text or "").lower().split()
+            found = np.bincount(np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)), minlength=2 * self.dimension)
+            row += found[1::2] - found[::2]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         out[:, 0] += (length == 0)[:, 0]  # an empty text is the first axis
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)

@@ -17,6 +17,8 @@ from docquarry.sources import scratch
 
 TOP_K = 20
 DIGITS = 6
+#: Numbers of the vectors of a block.
+BLOCK_NUMBERS = 4_000_000
 
 
 def scores(index: DataFrame, queries: DataFrame, embedding: str = "embedding", vector: str = "query_vector") -> DataFrame:
@@ -35,24 +37,30 @@ def scores(index: DataFrame, queries: DataFrame, embedding: str = "embedding", v
     return found
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, embedding: str = "embedding", vector: str = "query_vector") -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, embedding: str = "embedding", vector: str = "query_vector", rows: int | None = None) -> DataFrame:
     """The k best chunks of each query with rank; k above the index's size gives all. Null vectors match nothing.
 
-    A task multiplies its vectors with all queries, in double precision and in
-    blocks, and hands on only the k best of each query; queries of more than
-    ``scratch.BROADCAST_BYTES`` together go in parts, one scan each.
+    ``rows``, the index's size where it is known, lets tasks take whole blocks.
+    A task multiplies its vectors with all queries in single precision, in
+    blocks; pairs that, by the bound of its error, may be among the k best are
+    multiplied again in double precision, and only the k best of each query
+    are handed on. Queries of more than ``best.ASKED_BYTES`` together go in
+    parts, one scan each.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     spark, found = index.sparkSession, None
     kinds = index.schema["chunk_id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
     schema = "qid {1}, chunk_id {0}, score double".format(*kinds)
-    own = index.select("chunk_id", F.col(embedding).cast("array<double>").alias("v")).filter("v is not null")
-    for part in scratch.in_parts(queries.select("qid", F.col(vector).cast("array<double>").alias("v")), "qid", F.size("v") * 8 + 16):
-        rows = part.filter("v is not null").toArrow()
+    numbers = F.col(embedding) if index.schema[embedding].dataType.simpleString() == "array<float>" else F.col(embedding).cast("array<double>")
+    own = index.select("chunk_id", numbers.alias("v")).filter("v is not null")
+    if rows is not None:
+        own = own.coalesce(best.tasks(spark, rows))
+    for part in scratch.in_parts(queries.select("qid", F.col(vector).cast("array<double>").alias("v")), "qid", F.size("v") * 8 + 16, min(best.ASKED_BYTES, scratch.BROADCAST_BYTES)):
+        asked = part.filter("v is not null").toArrow()
         met = spark.createDataFrame([], schema)
-        if rows.num_rows:
-            met = own.mapInArrow(_best_rows(spark.sparkContext.broadcast(_by_size(rows["qid"].combine_chunks(), rows["v"].combine_chunks())), k), schema)
+        if asked.num_rows:
+            met = own.mapInArrow(_best_rows(spark.sparkContext.broadcast(_by_size(asked["qid"].combine_chunks(), asked["v"].combine_chunks())), k), schema)
         found = met if found is None else found.unionByName(met)
     return top(found, k)
 
@@ -63,7 +71,7 @@ def _by_size(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array, np.n
     out = {}
     for size in np.unique(sizes).tolist():
         at = pa.array(np.flatnonzero(sizes == size))
-        flat = vectors.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = vectors.take(at).flatten().to_numpy(zero_copy_only=False)
         out[size] = ids.take(at), flat.reshape(len(at), size)
     return out
 
@@ -72,12 +80,12 @@ def _best_rows(sent, k: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sent.value
         kept = {size: best.Best(len(ids), k, DIGITS) for size, (ids, _) in asked.items()}
-        for rows in parts:
-            for size, (ids, matrix) in _by_size(rows["chunk_id"], rows["v"]).items():
+        for rows in best.blocks(parts):
+            for size, (ids, matrix) in _by_size(rows["chunk_id"].combine_chunks(), rows["v"].combine_chunks()).items():
                 if size in asked:
-                    step = max(1, best.CELLS // len(asked[size][0]))
+                    step = max(1, BLOCK_NUMBERS // max(1, size))
                     for at in range(0, len(ids), step):
-                        kept[size].add(asked[size][1] @ matrix[at : at + step].T, ids.slice(at, step))
+                        _add_block(kept[size], asked[size][1], ids.slice(at, step), matrix[at : at + step])
         for size, found in kept.items():
             if (got := found.sort()) is not None:
                 yield from pa.table({"qid": asked[size][0].take(got["q"]), "chunk_id": got["id"], "score": got["s"]}).to_batches(max_chunksize=50_000)
@@ -85,6 +93,34 @@ def _best_rows(sent, k: int):
     return run
 
 
+def _add_block(kept: best.Best, asked: np.ndarray, ids: pa.Array, matrix: np.ndarray) -> None:
+    longest = np.sqrt(np.square(asked, dtype=np.float64).sum(axis=1))
+    reach = longest * np.sqrt(np.square(matrix, dtype=np.float64).sum(axis=1).max(initial=0.0))
+    single = bool((reach < 1e30).all())  # false for what is not finite, too
+    kind = np.float32 if single else np.float64
+    # each number and each product rounds once, and each of the sums
+    error = reach * ((matrix.shape[1] + 8) * best.UNIT) + 1e-30 if single else np.zeros(len(asked))
+    held = np.ascontiguousarray(matrix.T.astype(kind, copy=False))
+    kept.begin(ids)
+    step = max(1, best.CELLS // len(ids))
+    for at in range(0, len(asked), step):
+        own = slice(at, at + step)
+        block = asked[own].astype(kind) @ held
+        if not single:
+            block[np.isnan(block)] = -np.inf
+        floor = np.maximum(kept.low[own], best.kth(block, kept.k) - error[own]) - kept.near - error[own]
+        # below it in single precision, too
+        floor = np.nextafter(floor.astype(kind), kind(-np.inf))
+        q, r = np.divmod(np.flatnonzero(block >= floor[:, None]), len(ids))
+        if len(q):
+            s = np.empty(len(q))
+            for i in range(0, len(q), 65_536):
+                j = slice(i, i + 65_536)
+                s[j] = np.einsum("ij,ij->i", asked[own][q[j]].astype(np.float64), matrix[r[j]].astype(np.float64))
+            kept.add(q + at, r, s)
+    kept.end()
+
+
 def scores_of(index: DataFrame, queries: DataFrame, allowed: DataFrame, embedding: str = "embedding", vector: str = "query_vector") -> DataFrame:
     """(qid, chunk_id, score) of the allowed (qid, chunk_id) only."""
     # the pairs with the queries' vectors first, so each index row meets its own pairs only

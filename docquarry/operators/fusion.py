@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ from docquarry.sources import scratch
 RRF_K, FINAL_K = 60, 5
 NEVER = 10**9
 DIGITS = 12
+#: Questions that go to a chunk's text in one row.
+ASKED = 64
 
 
 def best_source_rank(dense: Column, bm25: Column) -> Column:
@@ -122,9 +126,11 @@ class OverlapScorer:
     """Deterministic stand-in for a cross-encoder: log-odds of the share of question words that the text holds."""
 
     def __call__(self, questions: list[str], texts: list[str]) -> list[float]:
-        out = []
+        out, last, has = [], None, set()
         for q, t in zip(questions, texts):
-            asked, has = set((q or "").lower().split()), set((t or "").lower().split()[:512])
+            if t is not last:  # the pairs of a text come one after the other
+                last, has = t, set((t or "").lower().split()[:512])
+            asked = set((q or "").lower().split())
             share = len(asked & has) / len(asked) if asked else 0.0
             out.append(round(10 * share - 5, 6))
         return out
@@ -151,3 +157,33 @@ def rerank(candidates: DataFrame, k: int | None = None, question: str = "questio
     order = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k) if k else ranked
+
+
+def rerank_by_chunk(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, scorer=None, batch: int = 64) -> DataFrame:
+    """(qid, chunk_id, pre_rerank_rank, rerank_score, rerank_probability, rank): the k best of ``rerank``, without texts in a ranking.
+
+    candidates: (qid, chunk_id, rank); questions: (qid, question); chunks:
+    (chunk_id, text). The questions of a chunk come to its text in lists of
+    ``ASKED`` at most, so a text is moved once and never copied for each pair.
+    """
+    made = scorer or OverlapScorer()
+    kinds = candidates.schema["qid"].dataType.simpleString(), candidates.schema["chunk_id"].dataType.simpleString()
+    pairs = candidates.select("qid", "chunk_id", F.col("rank").alias("pre_rerank_rank")).join(questions.select("qid", "question"), "qid")
+    pairs = pairs.withColumn("_n", F.expr(f"(row_number() over (partition by chunk_id order by qid) - 1) div {ASKED}"))
+    lists = pairs.groupBy("chunk_id", "_n").agg(F.collect_list("qid").alias("qids"), F.collect_list("pre_rerank_rank").alias("ranks"), F.collect_list(F.coalesce("question", F.lit(""))).alias("questions"))
+    lists = lists.join(chunks.select("chunk_id", "text"), "chunk_id").select("chunk_id", "qids", "ranks", "questions", "text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts:
+            asked = rows["questions"].to_pylist()
+            texts = [t for t, q in zip(rows["text"].to_pylist(), asked) for _ in q]
+            asked = [q for own in asked for q in own]
+            got: list[float] = []
+            for i in range(0, len(asked), batch):
+                got += [float(x) for x in made(asked[i : i + batch], texts[i : i + batch])]
+            times = pc.list_parent_indices(rows["qids"])
+            yield pa.RecordBatch.from_arrays([rows["qids"].flatten(), rows["chunk_id"].take(times), rows["ranks"].flatten(), pa.array(got, pa.float64())], ["qid", "chunk_id", "pre_rerank_rank", "rerank_score"])
+
+    scored = lists.mapInArrow(run, f"qid {kinds[0]}, chunk_id {kinds[1]}, pre_rerank_rank int, rerank_score double")
+    order = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "chunk_id")
+    return scored.withColumn("rerank_probability", tx.sigmoid(F.col("rerank_score"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
